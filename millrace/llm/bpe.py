@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding, two tiers.
 
-A text is cut by the tokenizer's pattern. A piece that is a token itself is found by a minimal perfect hash
+A text is cut by the tokenizer's pattern (distinct stretches of a batch once, see pretokens). A piece that is a token itself is found by a minimal perfect hash
 over the vocabulary (compress, hash and displace: a displacement for each bucket, a slot for each token, and
 the token compared at its slot). Every other piece is merged by rank, with a heap of candidate pairs over a
 doubly linked list of its bytes. Ids are those of the tiktoken library for the same ranks and pattern.
@@ -104,13 +104,25 @@ class Bpe:
         self.ranks = ranks
         self.hash = PerfectHash(self.tokens)
         self.bytes_of = dict(zip(ranks.values(), ranks, strict=True))
-        self.pieces = PieceEncoder(portable(pattern), self.encode_pieces)
-
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        raw = [x.encode() for x in pieces]
-        found = self.hash.candidates(raw)
-        tokens, ids = self.tokens, self.token_ids
-        return [ids[k : k + 1] if tokens[k] == x else np.array(self.merge(x), np.uint32) for x, k in zip(raw, found.tolist(), strict=True)]
+        self.pieces = PieceEncoder(portable(pattern), self.encode_all)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        find = self.pieces.find
+        cut = [find(t) for t in texts]
+        raw = [x.encode() for pieces in cut for x in pieces]
+        known = iter(zip(raw, self.hash.candidates(raw).tolist(), strict=True))
+        tokens, ids, merge = self.tokens, self.token_ids.tolist(), self.merge
+        flat: list[int] = []
+        ends = [0]
+        for pieces in cut:
+            for _ in pieces:
+                x, k = next(known)
+                if tokens[k] == x:
+                    flat.append(ids[k])
+                else:
+                    flat += merge(x)
+            ends.append(len(flat))
+        return np.array(flat, np.uint32), np.diff(ends)
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges the pair of lowest rank, leftmost first, until no neighbours make a token."""

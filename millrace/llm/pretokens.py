@@ -1,5 +1,9 @@
-"""Byte-level BPE texts as pieces: whole batches of texts are cut by the tokenizer's pattern, and every
-distinct piece of a batch is encoded once. Bounded by the batch and a cache of limited size."""
+"""Byte-level BPE texts as stretches of whole pieces of the tokenizer's pattern; every distinct stretch of a
+batch of texts is encoded once. Bounded by the batch and a memory of limited size.
+
+A text is cut by the pattern itself; or, if no two characters of white space stand together in it, before each
+space and around each line feed. There the pattern cuts too: single white space is a piece of its own or the head
+of one, and nothing but white space is looked ahead for."""
 
 from __future__ import annotations
 
@@ -7,13 +11,23 @@ import base64
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pyarrow as pa
 import regex
 
-#: Distinct pieces whose ids a worker remembers; the memory is emptied beyond it.
-REMEMBERED = 400_000
+#: Distinct stretches whose ids a worker remembers; the memory is emptied beyond it.
+REMEMBERED = 800_000
 #: Characters of text that are cut at once.
 CHUNK_CHARS = 2_000_000
+#: Texts below this character have no white space but that of OTHER_WHITE, space and line feed.
+PLAIN_BELOW = chr(0x250)
+OTHER_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def is_plain(text: str) -> bool:
+    return text.isascii() or max(text) < PLAIN_BELOW
+
+
+def is_single_spaced(text: str) -> bool:
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or any(c in text for c in OTHER_WHITE)) and is_plain(text)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -21,55 +35,61 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class _Rows(dict):
+    """Numbers strings in the order in which they first come; new has those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self.new.append(text)
+        row = self[text] = len(self)
+        return row
+
+
+def grown(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(size - len(x), len(x)), x.dtype)])
+
+
 class PieceEncoder:
-    """Encodes texts by encode_pieces, which gets distinct pieces and returns the ids of each."""
+    """Encodes texts by encode_all, which gets distinct stretches of whole pieces and returns all their ids on end
+    and the number of each one's."""
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[np.ndarray]]):
+    def __init__(self, pattern: str, encode_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.find = regex.compile(pattern).findall
-        self.encode_pieces = encode_pieces
+        self.encode_all = encode_all
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.n, self.used = 0, 0
-
-    def learn(self, pieces: list[str]) -> None:
-        got = self.encode_pieces(pieces)
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.concatenate(got) if got else np.empty(0, np.uint32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.n + len(got) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start[self.n + 1 : self.n + len(got) + 1] = self.used + np.cumsum(lengths)
-        self.row.update(zip(pieces, range(self.n, self.n + len(got)), strict=True))
-        self.n, self.used = self.n + len(got), self.used + len(flat)
+        self.rows = _Rows()
+        self.ids, self.start, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
+
+    def learn(self) -> None:
+        flat, lengths = self.encode_all(self.rows.new)
+        used, n = self.start[self.n], len(lengths)
+        self.ids, self.start = grown(self.ids, used + len(flat)), grown(self.start, self.n + n + 1)
+        self.ids[used : used + len(flat)] = flat
+        self.start[self.n + 1 : self.n + n + 1] = used + np.cumsum(lengths)
+        self.n += n
+        self.rows.new = []
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, number of ids of each text)."""
         flat, counts = [], []
         for t in texts:
-            found = self.find(t)
+            found = t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if is_single_spaced(t) else self.find(t)
             counts.append(len(found))
             flat += found
-        if not flat:
-            return np.empty(0, np.uint32), np.zeros(len(counts), np.int64)
-        coded = pa.array(flat, pa.large_string()).dictionary_encode()
-        del flat
-        distinct = coded.dictionary.to_pylist()
-        if self.n + len(distinct) > REMEMBERED:
+        if len(self.rows) > REMEMBERED:
             self.clear()
-        if new := [x for x in distinct if x not in self.row]:
-            self.learn(new)
-        rows = np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        rows = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
+        if self.rows.new:
+            self.learn()
         begin, length = self.start[rows], self.start[rows + 1] - self.start[rows]
-        ends = np.cumsum(length)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(upto)
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], length)]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
     def each(self, texts: list[str]) -> Iterable[np.ndarray]:
         """The ids of each text, cut in chunks of bounded size."""

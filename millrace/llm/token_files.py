@@ -1,8 +1,7 @@
 """Token ids in Arrow stream files of fixed-size-list batches.
 
 A file holds a stretch of the corpus in ascending doc_id order, cut into sequences of equal length: a batch has
-`ids` (fixed-size lists of token ids) and `mask` (fixed-size lists of bytes: 0 padding, 1 token, 2 last token of
-a document). Only a file's last sequence has padding. All batches of a file but the last have equally many
+`ids` (fixed-size lists of token ids) and `mask` (fixed-size lists of bits: false for padding). Only a file's last sequence has padding. All batches of a file but the last have equally many
 sequences, hence equally many bytes, so sequence i is found by arithmetic and read from a memory map without
 copying. Beside each file lies its index of documents (doc_id, first, n_tokens), also an Arrow stream.
 
@@ -17,6 +16,7 @@ import os
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +28,28 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import portable
 from millrace.llm.common import saved, scratch
-from millrace.llm.pretokens import PieceEncoder
+from millrace.llm.pretokens import PieceEncoder, is_plain
 
 SEQUENCE = 2048
 #: Sequences in a batch of a file.
 BATCH = 64
 END_ID = 0
-#: Texts of which the pieces are known to be those of the library's own pattern engine, beyond doubt of Unicode versions.
-PLAIN_BELOW = 0x250
+
+
+#: Stretches that the library gets as one text.
+JOINED = 2000
+
+
+def _joins(t: str) -> bool:
+    """Whether t is one space or none, then a text without white space at its ends or line feeds in it."""
+    core = t[1:] if t.startswith(" ") else t
+    return bool(core) and core == core.strip() and "\n" not in core and core.isprintable()
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct piece of a batch of texts.
+    """The tokenizers library, asked once for each distinct stretch of whole pieces in a batch of texts.
 
-    A text with characters that engines of another Unicode version might class otherwise goes to the library whole."""
+    A text with characters that engines of another Unicode version might class otherwise goes to it in one piece."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,11 +59,31 @@ class LibraryEncoder:
         self.library.encode_special_tokens = True
         self.pieces = PieceEncoder(portable(pattern), self.whole)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers. Stretches that a line feed can part without changing their pieces go together."""
+        texts = [t if self.feed is not None and _joins(t) else [t] for t in texts]
+        flat: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        for joins, run in groupby(texts, lambda t: isinstance(t, str)):
+            run = list(run)
+            if not joins:
+                ids = [x.ids for x in self.library.encode_batch_fast([t[0] for t in run], add_special_tokens=False)]
+                flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+                lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                continue
+            for a in range(0, len(run), JOINED):
+                part = run[a : a + JOINED]
+                ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+                flat.append(ids[ids != self.feed])
+                lengths.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate([np.empty(0, np.uint32), *flat]), np.concatenate([np.empty(0, np.int64), *lengths])
 
     def each(self, texts: list[str]):
-        plain = [t.isascii() or max(t) < chr(PLAIN_BELOW) for t in texts]
+        plain = [is_plain(t) for t in texts]
         known = iter(self.pieces.each([t for t, p in zip(texts, plain, strict=True) if p]))
         for t, p in zip(texts, plain, strict=True):
             yield next(known) if p else self.whole([t])[0]
@@ -76,39 +104,36 @@ class Writer:
     def __init__(self, fs: pafs.FileSystem, path: str, length: int = SEQUENCE, batch: int = BATCH, id_type=pa.uint16()):
         self.fs, self.path, self.own = fs, path, f"{path}.{uuid.uuid4().hex}.part"
         self.length, self.batch = length, batch
-        self.schema = pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.uint8(), length))], {"sequence": str(length), "batch": str(batch)})
+        self.schema = pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.bool_(), length))], {"sequence": str(length), "batch": str(batch)})
         self.sink = fs.open_output_stream(self.own)
         self.out = ipc.new_stream(self.sink, self.schema)
         self.dtype = id_type.to_pandas_dtype()
-        self.ids, self.mask, self.held = [], [], 0
+        self.ids, self.held = [], 0
         self.keys, self.first, self.count, self.total = [], [], [], 0
 
     def add(self, key, ids: np.ndarray) -> None:
-        mask = np.ones(len(ids), np.uint8)
-        mask[-1] = 2
         self.keys.append(key)
         self.first.append(self.total)
         self.count.append(len(ids))
         self.total += len(ids)
         self.ids.append(ids.astype(self.dtype))
-        self.mask.append(mask)
         self.held += len(ids)
         if self.held >= 4 * self.length * self.batch:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids, mask = np.concatenate([*self.ids, np.empty(0, self.dtype)]), np.concatenate([*self.mask, np.empty(0, np.uint8)])
+        ids = np.concatenate([*self.ids, np.empty(0, self.dtype)])
         step = self.length * self.batch
+        tokens = len(ids)
         whole = len(ids) if last else len(ids) // step * step
         if last and whole % self.length:
             pad = self.length - whole % self.length
-            ids, mask = np.concatenate([ids, np.zeros(pad, self.dtype)]), np.concatenate([mask, np.zeros(pad, np.uint8)])
-            whole += pad
+            ids, whole = np.concatenate([ids, np.zeros(pad, self.dtype)]), whole + pad
         for a in range(0, whole, step):
             b = min(a + step, whole)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[a:b], t.type.value_type), self.length) for x, t in ((ids, self.schema.field(0)), (mask, self.schema.field(1)))]
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[a:b], t.type.value_type), self.length) for x, t in ((ids, self.schema.field(0)), (np.arange(whole) < tokens, self.schema.field(1)))]
             self.out.write_batch(pa.record_batch(lists, schema=self.schema))
-        self.ids, self.mask, self.held = [ids[whole:]], [mask[whole:]], len(ids) - whole
+        self.ids, self.held = [ids[whole:]], len(ids) - whole
 
     def close(self, key_type=pa.int64()) -> None:
         self._flush(True)
@@ -160,11 +185,12 @@ class Sequences:
         return self.n
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, in place in the map; mask, unpacked from its bits)."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         self.map.seek(self.begin + i // self.batch * self.step)
         b, k = self._next(), i % self.batch
-        return tuple(b.column(c)[k].values.to_numpy(zero_copy_only=True) for c in (0, 1))
+        return b.column(0)[k].values.to_numpy(zero_copy_only=True), b.column(1)[k].values.to_numpy(zero_copy_only=False)
 
 
 def write_token_files(df: DataFrame, path: str, pattern: str, out: str, text: str = "text", length: int = SEQUENCE) -> DataFrame:
@@ -214,8 +240,8 @@ def documents_of(fs: pafs.FileSystem, path: str, before: int = 0):
                 parts, ids, at = [ids[first - at :]], None, first
                 while (have := sum(map(len, parts))) < n:
                     b = next(stream)
-                    got, mask = (b.column(c).flatten().to_numpy() for c in (0, 1))
-                    parts.append(got[mask > 0])
+                    got, mask = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
+                    parts.append(got[mask])
                 ids = np.concatenate(parts) if len(parts) > 1 else parts[0]
                 crc.append(zlib.crc32(ids[:n].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(np.asarray(docs.column(1)) + before, pa.int64()), docs.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
