@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from millrace.llm import bpe, mixing, quality_rules, token_files
+from millrace.llm import bpe, jaccard, mixing, quality_rules, suffix_dedup, token_files
 from millrace.llm.common import table
 
 
@@ -20,12 +20,20 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op3_quality_rules, op5_mixing, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op3_quality_rules, op5_mixing, op6_suffix_dedup, op7_jaccard_join, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
