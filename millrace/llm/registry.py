@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from millrace.llm import bpe, jaccard, mixing, quality_rules, suffix_dedup, token_files
+from millrace.llm import bpe, embeddings, jaccard, mixing, quality_rules, suffix_dedup, token_files, url_filter
 from millrace.llm.common import table
 
 
@@ -28,13 +28,21 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard.similarity_join(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_embeddings(spark, sf_dir):
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op3_quality_rules, op5_mixing, op6_suffix_dedup, op7_jaccard_join, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op3_quality_rules, op5_mixing, op6_suffix_dedup, op7_jaccard_join, op8_url_filter, op9_bpe, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op5_mixing": mixing.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op5_mixing": mixing.SQL, "op8_url_filter": url_filter.SQL}
