@@ -15,6 +15,11 @@ SPACES = " \t\n\x0b\x0c\r"
 _scratch: list[str] = []
 
 
+def scratch_paths() -> list[str]:
+    """Scratch paths that this process has made and not deleted."""
+    return list(_scratch)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,10 +55,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
         _scratch.remove(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables of the operators that have run. Call it once their results are written."""
-    for path in list(_scratch):
+def drop_table(df: DataFrame) -> None:
+    """Deletes a table that saved() has written, and lets Spark drop the shuffles of queries that have ended."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         drop_path(spark, path)
+    spark._jvm.System.gc()
 
 
 def let(value: Column, body) -> Column:

@@ -20,7 +20,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         before = now
         now = saved(_small_star(_large_star(now)), "edges")
-        drop_path(spark, before.inputFiles()[0].rsplit("/", 1)[0]) if before.inputFiles() else None
+        for path in {f.rsplit("/", 1)[0] for f in before.inputFiles()}:
+            drop_path(spark, path)
         last, state = state, _state(now)
         if last == state:
             break

@@ -29,21 +29,22 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved
+from millrace.llm.common import drop_table, saved
 
 WINDOW = 200
 GRAM = 64
 #: Bytes of pieces in a shard.
-SHARD = 2 << 20
+SHARD = 1 << 18
 #: Runs of a leader from which on its runs are cut again.
 FREQUENT = 5000
 CUT = 25
 #: Bytes of text that are scanned at once, and bytes of pieces among which a task looks for equal ones.
-SCAN = 2 << 20
+SCAN = 1 << 16
 COMBINE = 16 << 20
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
@@ -109,70 +110,68 @@ def runs(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """All suffixes in order, by Larsson-Sadakane refinement."""
     n = len(text)
-    key = words_at(text, ">")[:n]
-    sa = np.argsort(key)
-    sorted_key = key[sa]
-    new = np.ones(n, bool)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(n + 1, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    # a suffix shorter than the first key counts as followed by zeros until its rank beyond the end tells it apart;
+    # zeros that are text rule that out, so then single bytes come first
+    h = 1 if n and (text[-8:] == 0).any() else 8
+    key = words_at(text, ">")[:n] if h == 8 else text
+    sa = np.argsort(key, kind="quicksort" if h == 8 else "stable").astype(np.int32)
+
+    def group_starts(values, at):
+        """For sorted values at the places at: the first place of each one's group, and whether it is alone."""
+        new = np.ones(len(values), bool)
+        new[1:] = values[1:] != values[:-1]
+        first = at[np.maximum.accumulate(np.where(new, np.arange(len(values), dtype=np.int32), 0))]
+        return first, new & np.append(new[1:], True)
+
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    # a suffix shorter than the key counts as followed by zeros until its rank beyond the end tells it apart
-    unsorted = np.flatnonzero(~(new & np.append(new[1:], True)))
-    h = 8
-    short = np.arange(max(0, n - 8), n)
-    if n and (text[short] == 0).any():
-        h = 1  # zeros that are text: start again from single bytes
-        sa = np.argsort(text, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = text[sa][1:] != text[sa][:-1]
-        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        unsorted = np.flatnonzero(~(new & np.append(new[1:], True)))
+    places = np.arange(n, dtype=np.int32)
+    rank[sa], alone = group_starts(key[sa], places)
+    unsorted = places[~alone]
     while len(unsorted):
         p = sa[unsorted]
-        both = rank[p] * (n + 2) + rank[np.minimum(p + h, n)] + 1
+        both = rank[p].astype(np.int64) * (n + 2) + rank[np.minimum(p + np.int32(h), np.int32(n))]
         order = np.argsort(both)
-        p, both = p[order], both[order]
+        p = p[order]
         sa[unsorted] = p
-        new = np.ones(len(p), bool)
-        new[1:] = both[1:] != both[:-1]
-        rank[p] = unsorted[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
-        unsorted = unsorted[~(new & np.append(new[1:], True))]
+        rank[p], alone = group_starts(both[order], unsorted)
+        unsorted = unsorted[~alone]
         h *= 2
     return sa
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int = WINDOW, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int = WINDOW, lanes: int = 16384) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in order, up to most: Kasai's algorithm, which starts each
     suffix one byte below the last one's result. Many stretches of the text advance side by side."""
     n = len(text)
     u = words_at(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    lanes = max(1, min(lanes, n // 64 + 1))
+    lanes = max(1, min(lanes, n // 16 + 1))
     step = -(-n // lanes)
-    out = np.zeros(n, np.int64)
-    h = np.zeros(lanes, np.int64)
-    begin = np.arange(lanes) * step
+    out = np.zeros(n, np.int32)
+    h = np.zeros(lanes, np.int32)
+    begin = (np.arange(lanes) * step).astype(np.int32)
     for t in range(step):
-        pos = begin + t
+        pos = begin + np.int32(t)
         if pos[-1] >= n:
             pos = pos[pos < n]
         j, own = before[pos], h[: len(pos)]
         own[j < 0] = 0
-        todo = np.flatnonzero((j >= 0) & (own < most))
+        # the longest that the text allows
+        room = np.minimum(n - np.maximum(pos, j), most).astype(np.int32)
+        todo = np.flatnonzero((j >= 0) & (own < room))
         while len(todo):
             k = own[todo]
-            a, b = pos[todo] + k, j[todo] + k
-            ok = np.maximum(a, b) < n
-            x = u[np.minimum(a, n)] ^ u[np.minimum(b, n)]
-            same = (x == 0) & ok
-            low = (x & (~x + np.uint64(1))).astype(np.float64)
-            part = np.where(x == 0, 8, np.log2(np.maximum(low, 1.0)).astype(np.int64) >> 3)
-            own[todo] = k + np.where(ok, part, 0)
-            todo = todo[same & (own[todo] < most)]
-        np.minimum(own, most, out=own)
-        np.minimum(own, n - np.maximum(pos, j), out=own)
+            x = u[pos[todo] + k] ^ u[j[todo] + k]
+            differ = x != 0
+            own[todo] = k + 8
+            if differ.any():
+                x, at = x[differ], todo[differ]
+                own[at] = k[differ] + (np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int32) >> 3)
+                todo = todo[~differ]
+            todo = todo[own[todo] < room[todo]]
+        np.minimum(own, room, out=own)
         out[pos] = own
         np.maximum(own - 1, 0, out=own)
     return out[sa]
@@ -266,24 +265,16 @@ def repeated_in(keys: Iterable[tuple[list[bytes], np.ndarray]], shard: int | Non
     size = 0
 
     def close():
-        s = Shard([p for pieces, _ in held for p in pieces], np.concatenate([t for _, t in held]))
-        masks = s.masks()
-        a = 0
-        for pieces, _ in held:
-            yield masks[a : a + len(pieces)]
-            a += len(pieces)
+        several = [x for x in held if len(x[0]) > 1]
+        masks = iter(Shard([p for pieces, _ in several for p in pieces], np.concatenate([t for _, t in several])).masks() if several else ())
+        for pieces, times in held:
+            # no two windows of one run are equal
+            yield [next(masks) for _ in pieces] if len(pieces) > 1 else [np.full(len(pieces[0]) - WINDOW + 1, times[0] > 1)]
         held.clear()
 
     for pieces, times in keys:
-        if len(pieces) == 1:
-            # no two windows of a run are equal
-            if held:
-                yield from close()
-                size = 0
-            yield [np.full(len(pieces[0]) - WINDOW + 1, times[0] > 1)]
-            continue
-        own = sum(map(len, pieces))
-        if held and size + own > most:
+        own = sum(map(len, pieces)) if len(pieces) > 1 else 0
+        if held and (size + own > most or len(held) >= 50_000):
             yield from close()
             size = 0
         if own > most:
@@ -445,14 +436,36 @@ def _judge(batches):
         yield pd.DataFrame(rows, columns=["p1", "p2", "mask", "windows"])
 
 
-def removed_bytes(n: int, marks) -> np.ndarray:
-    """Which of n bytes are covered, from marks of (first, mask, windows)."""
-    edge = np.zeros(n + 1, np.int32)
-    for r in marks:
-        s = r["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["windows"]))
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + WINDOW, -1)
-    return np.cumsum(edge)[:n] > 0
+def removed_bytes(lengths: np.ndarray, marks: pa.ListArray) -> np.ndarray:
+    """Which bytes are covered, of texts of these lengths that lie end to end. marks: lists of (first, mask)."""
+    edge = np.zeros(int(lengths.sum()) + 1, np.int64)
+    offsets = marks.offsets.to_numpy()
+    flat = marks.values
+    masks = flat.field("mask")
+    begin = np.frombuffer(masks.buffers()[1], np.int32)[masks.offset : masks.offset + len(masks) + 1].astype(np.int64)
+    data = np.frombuffer(masks.buffers()[2] or b"", np.uint8)
+    low, high = int(offsets[0]), int(offsets[-1])
+    if high > low:
+        bit = np.flatnonzero(np.unpackbits(data[begin[low] : begin[high]])) + 8 * begin[low]
+        mark = np.searchsorted(8 * begin, bit, side="right") - 1
+        text = np.searchsorted(offsets, mark, side="right") - 1
+        start = flat.field("first").to_numpy()[mark] + bit - 8 * begin[mark] + (np.cumsum(lengths) - lengths)[text]
+        edge += np.bincount(start, minlength=len(edge))
+        edge -= np.bincount(start + WINDOW, minlength=len(edge))
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _kept(batch: pa.RecordBatch, text: str, marks: str):
+    """(number, text, which of its bytes go) of each row of batch; null texts are empty."""
+    texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
+    at = 0
+    column = batch.column(marks)
+    for a, b in _pass(texts, 1 << 20):
+        lengths = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
+        gone = removed_bytes(lengths, column.slice(a, b - a))
+        for k, g in enumerate(np.split(gone, np.cumsum(lengths)[:-1])):
+            yield at + k, texts[a + k], g
+        at += b - a
 
 
 def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -462,6 +475,8 @@ def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         scanned.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("k"), *(F.first(c).alias(c) for c in ("t1", "n_bytes", "leaders", "firsts", "places"))),
         "texts",
     )
+    slim = saved(scanned.select("doc_id", "sha", "t1", "n_bytes"), "documents")
+    drop_table(scanned)
     # the end of a run is the first window of the next
     stops = F.concat(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(0))), F.array((F.col("n_bytes") - (WINDOW - 1)).cast("int")))
     zipped = F.arrays_zip(F.col("leaders").alias("leader"), F.col("firsts").alias("first"), stops.alias("stop"), F.col("places").alias("place"))
@@ -471,11 +486,15 @@ def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keyed = docs.withColumn("k_", F.coalesce("doc_id", F.lit(NO_ID)))
     cut = keyed.join(chosen, keyed["k_"] == chosen["k"]).select("t", "k", "t1", "n", "runs").mapInPandas(_cut, "p1 long, p2 long, leader long, piece binary, times long, k long, t1 long, first int")
     pieces = saved(cut, "pieces")
+    copies = saved(texts.select("sha", "n"), "copies")
+    drop_table(texts)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.where("piece is not null").select("leader", "p1", "p2", "piece", "times").repartition(parts, "leader").sortWithinPartitions("leader", "p1", "p2")
     masks = dealt.mapInPandas(_judge, "p1 long, p2 long, mask binary, windows int")
     marks = pieces.where("piece is null").select("p1", "p2", "k", "t1", "first").join(masks, ["p1", "p2"]).groupBy("k", "t1").agg(F.collect_list(F.struct("first", "mask", "windows")).alias("marks"))
-    return scanned, texts.select("sha", "n"), saved(marks, "marks")
+    marks = saved(marks, "marks")
+    drop_table(pieces)
+    return slim, copies, marks
 
 
 def repeat_report(df: DataFrame, text: str = "text") -> DataFrame:
@@ -484,18 +503,19 @@ def repeat_report(df: DataFrame, text: str = "text") -> DataFrame:
     scanned, copies, marks = _find(docs)
 
     def remove(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for t, k, t1, found in zip(pdf["t"], pdf["k"], pdf["t1"], pdf["marks"], strict=True):
-                sha, h = _digest(t.encode())
-                if h == t1:
-                    b = np.frombuffer(t.encode(), np.uint8)
-                    gone = removed_bytes(len(b), found)
-                    out.append((sha, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), hashlib.sha256(b[~gone].tobytes()).hexdigest()))
-            yield pd.DataFrame(out, columns=["sha", "gone", "spans", "kept"])
+            # other texts of the same doc_id have other marks or none
+            digests = [_digest(t.encode()) for t in batch.column("t").to_pylist()]
+            own = [h == t1 for (_, h), t1 in zip(digests, batch.column("t1").to_pylist(), strict=True)]
+            shas = [sha for (sha, _), ok in zip(digests, own, strict=True) if ok]
+            for k, t, gone in _kept(batch.filter(pa.array(own, pa.bool_())), "t", "marks"):
+                b = np.frombuffer(t, np.uint8)
+                out.append((shas[k], int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), hashlib.sha256(b[~gone].tobytes()).hexdigest()))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["sha", "gone", "spans", "kept"]).astype({"gone": "int64", "spans": "int64"}), preserve_index=False, schema=pa.schema([("sha", pa.string()), ("gone", pa.int64()), ("spans", pa.int64()), ("kept", pa.string())]))
 
     keyed = docs.withColumn("k_", F.coalesce("doc_id", F.lit(NO_ID)))
-    found = keyed.join(marks, keyed["k_"] == marks["k"]).select("t", "k", "t1", "marks").mapInPandas(remove, "sha string, gone long, spans long, kept string").dropDuplicates(["sha"])
+    found = keyed.join(marks, keyed["k_"] == marks["k"]).select("t", "t1", "marks").mapInArrow(remove, "sha string, gone long, spans long, kept string").dropDuplicates(["sha"])
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= WINDOW)
     return scanned.select("doc_id", "sha", "n_bytes").join(copies.join(found, "sha", "left"), "sha").select(
         "doc_id",
@@ -512,26 +532,21 @@ def without_repeats(df: DataFrame, text: str = "text", chars: str = "n_chars") -
     scanned, copies, marks = _find(docs)
     twice = copies.where("n > 1").join(scanned.where(F.col("n_bytes") >= WINDOW).select("sha", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "t1"), "sha").select("k", "t1").distinct()
     change = marks.join(twice.withColumn("all_gone", F.lit(True)), ["k", "t1"], "full")
-    # a doc_id that several texts share has several changes
-    change = change.groupBy("k").agg(F.collect_list(F.struct("t1", "all_gone", "marks")).alias("changes"))
+    key, schema = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), df.schema
+    # texts that share a doc_id are told apart by their digests
+    hex_ = F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256), 1, 16)
+    reversed_ = F.concat(*(F.substring(hex_, 15 - 2 * k, 2) for k in range(8)))
+    keyed = df.withColumns({"k_": key, "t1_": F.conv(reversed_, 16, -10).cast("long")})
+    joined = keyed.join(change, (keyed["k_"] == change["k"]) & (keyed["t1_"] == change["t1"]), "left").select(*(df[c] for c in df.columns), F.col("all_gone").alias("gone_"), F.col("marks").alias("marks_"))
+    emptied = F.when(F.col(text).isNotNull(), F.lit(""))
+    same = joined.where("marks_ is null or gone_").withColumn(text, F.when(F.col("gone_"), emptied).otherwise(F.col(text))).select(df.columns)
 
     def remove(batches):
-        for pdf in batches:
-            texts = []
-            for t, changes in zip(pdf[text], pdf["changes_"], strict=True):
-                if t is not None and changes is not None:
-                    b = t.encode()
-                    h = _digest(b)[1]
-                    for c in changes:
-                        if c["t1"] == h:
-                            kept = b"" if c["all_gone"] else np.frombuffer(b, np.uint8)[~removed_bytes(len(b), c["marks"])].tobytes()
-                            t = kept.decode(errors="ignore")
-                texts.append(t)
-            yield pdf.drop(columns="changes_").assign(**{text: texts})
-
-    keyed = df.withColumn("k_", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    joined = keyed.join(change, keyed["k_"] == change["k"], "left").select(*(df[c] for c in df.columns), F.col("changes").alias("changes_"))
-    same = joined.where("changes_ is null").drop("changes_")
-    new = joined.where("changes_ is not null").mapInPandas(remove, df.schema)
+        for batch in batches:
+            new = [np.frombuffer(t, np.uint8)[~gone].tobytes().decode(errors="ignore") for _, t, gone in _kept(batch, text, "marks_")]
+            at = batch.schema.get_field_index(text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).drop_columns(["gone_", "marks_"])
+
+    new = joined.where("marks_ is not null and not coalesce(gone_, false)").mapInArrow(remove, schema)
     both = same.union(new)
-    return both.withColumn(chars, F.length(text).cast(df.schema[chars].dataType)) if chars in df.columns else both
+    return both.withColumn(chars, F.length(text).cast(schema[chars].dataType)) if chars in df.columns else both
