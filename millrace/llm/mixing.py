@@ -55,9 +55,10 @@ def targets(per: DataFrame, source: str = "source", weights=WEIGHTS, most: int =
     return left.select(source, "source_size", F.least((most * F.col("source_size")).cast("double"), share).alias("target"))
 
 
-def copies(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, most: int = MAX_REPEAT, offset: int = OFFSET) -> DataFrame:
-    """df with size, source_size, target and copies (how often the mix takes the row)."""
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+def copies(df: DataFrame, carried: list[str], text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, most: int = MAX_REPEAT, offset: int = OFFSET) -> DataFrame:
+    """(row, size, source_size, target, copies) of each row of df: row has the carried columns, copies how often the
+    mix takes it."""
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")
     sized = df.select(row, F.col(key).alias("k"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("s"), size_of(F.col(text)).alias("size"))
     bucket = ["s", "cls", "sub"]
     sized = sized.withColumns({"cls": F.length(F.bin("size")), "sub": F.coalesce(F.pmod(F.col("k"), F.lit(SLICES)), F.lit(0)).cast("int"), "tie": F.xxhash64("row")})
@@ -72,17 +73,18 @@ def copies(df: DataFrame, text: str = "text", source: str = "source", key: str =
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy("size", "k", "tie")).cast("long")
     joined = sized.withColumn("rank", rank).join(begin, bucket).select("row", "size", "source_size", "target", (F.col("start") + F.col("rank")).alias("upto"), each.alias("each"))
     crossed = lambda n: F.floor((n.cast("decimal(18,0)") * F.col("each") + offset) / UNIT).cast("long")
-    return joined.select("row.*", "size", "source_size", "target", (crossed(F.col("upto")) - crossed(F.col("upto") - 1)).alias("copies"))
+    return joined.select("row", "size", "source_size", "target", (crossed(F.col("upto")) - crossed(F.col("upto") - 1)).alias("copies"))
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of df as many times as it is taken, with df's columns."""
-    taken = copies(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("r"), *(F.col(c) for c in ("doc_id", "text", "source"))), **options)
-    return taken.where("copies > 0").select("r", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("i")).select("r.*")
+    taken = copies(df, df.columns, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_report(df: DataFrame) -> DataFrame:
-    return copies(df.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """(doc_id, size, source_size, target, taken) of each row."""
+    return copies(df, ["doc_id"]).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = f"""

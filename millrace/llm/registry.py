@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from millrace.llm import bpe, embeddings, jaccard, mixing, quality_rules, suffix_dedup, token_files, url_filter
+import corpus_pipeline
+from millrace.llm import bpe, embeddings, jaccard, mixing, quality_classifier, quality_rules, suffix_dedup, token_files, toxicity, url_filter
 from millrace.llm.common import table
 
 
@@ -12,10 +13,18 @@ def op1_token_files(spark, sf_dir):
     return token_files.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -41,8 +50,9 @@ def op10_embeddings(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op3_quality_rules, op5_mixing, op6_suffix_dedup, op7_jaccard_join, op8_url_filter, op9_bpe, op10_embeddings)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_files, op2_quality_classifier, op3_quality_rules, op4_toxicity, op5_mixing, op6_suffix_dedup, op7_jaccard_join, op8_url_filter, op9_bpe, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op5_mixing": mixing.SQL, "op8_url_filter": url_filter.SQL}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return whole | {"op3_quality_rules": quality_rules.SQL, "op5_mixing": mixing.SQL, "op8_url_filter": url_filter.SQL}
