@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are strings of 4, 6 and 8 bytes of the lower-cased text. Their document frequencies among a bounded sample of
-labelled examples are counted in Spark; the TERMS that tell toxic examples apart best (chi-squared) make the
-vocabulary. Examples are indexed as postings by (block of examples, term), with the largest weight of each term in
+labelled examples are counted in Spark; the TERMS that mark toxic examples best (chi-squared; significant, and LIFT times
+as frequent there) make the vocabulary. Examples are indexed as postings by (block of examples, term), with the largest weight of each term in
 each block. A text's nearest NEIGHBOURS are found by visiting blocks in order of their upper bounds and stopping when
 no block can hold a nearer one: the result is that of comparing all examples. Votes are weighted by
 inverse distance; a logistic curve fitted on the examples themselves (each without itself) turns share of votes and nearest cosine into a
@@ -30,8 +30,14 @@ EXAMPLES = 2000
 TERMS = 2048
 LENGTHS = (4, 6, 8)
 BLOCK = 64
+#: Blocks that are scored at once.
+TOGETHER = 8
 NEIGHBOURS = 10
-SCAN = 1 << 20
+SCAN = 1 << 16
+#: Chi-squared (one degree of freedom) that chance exceeds once in ten thousand terms.
+SIGNIFICANT = 15.137
+#: How much more frequent a term is among toxic examples at least.
+LIFT = 2
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,17 +118,22 @@ class Index:
         q = self.weigh(terms, counts)
         bound = q @ self.most[terms]
         got, cos, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(got) == k and bound[b] < least - 1e-12:
-                break
-            slots = b * self.n_terms + terms
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at, some = 0, TOGETHER
+        while at < len(order) and not (len(got) == k and bound[order[at]] < least - 1e-12):
+            blocks = order[at : at + some]
+            at += some
+            slots = (blocks[:, None] * self.n_terms + terms[None]).ravel()
             start, n = self.begin[slots], self.begin[slots + 1] - self.begin[slots]
             ends = np.cumsum(n)
-            at = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
-            s = np.bincount(self.local[at], self.weight[at] * np.repeat(q, n), BLOCK)
-            mine = np.flatnonzero(s > 0)
-            mine = mine[mine + b * BLOCK != without]
-            got, cos = np.concatenate([got, mine + b * BLOCK]), np.concatenate([cos, s[mine]])
+            place = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
+            slot = np.repeat(np.arange(len(blocks)) * BLOCK, n.reshape(len(blocks), -1).sum(axis=1))
+            s = np.bincount(slot + self.local[place], self.weight[place] * np.repeat(np.tile(q, len(blocks)), n), len(blocks) * BLOCK)
+            mine = np.flatnonzero(s > least - 1e-12) if len(got) == k else np.flatnonzero(s > 0)
+            number = blocks[mine // BLOCK] * BLOCK + mine % BLOCK
+            mine, number = mine[number != without], number[number != without]
+            got, cos = np.concatenate([got, number]), np.concatenate([cos, s[mine]])
             best = np.lexsort((got, -cos))[:k]
             got, cos = got[best], cos[best]
             least = cos[-1] if len(cos) == k else 0.0
@@ -208,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     cross = a * (neg - b) - b * (pos - a)
     chi = cross.cast("double") * cross * (pos + neg) / (F.lit(float(pos)) * neg * (a + b) * (pos + neg - a - b + 1))
     found = sample.mapInPandas(frequencies, "term long, toxic long, total long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total")).where("total > 1")
-    terms = found.orderBy(chi.desc(), "term").limit(TERMS).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64)
+    terms = found.where((a * neg >= LIFT * b * pos) & (chi >= SIGNIFICANT)).orderBy(chi.desc(), "term").limit(TERMS).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64)
     vocabulary = Vocabulary(terms)
 
     def vectors_of(batches):
