@@ -73,8 +73,9 @@ def closest_length(lengths: Column, n: Column) -> Column:
     return F.array_min(F.transform(lengths, lambda x: F.struct(F.abs(x - n).alias("d"), x.alias("x"))))["x"]
 
 
-def smooth(parts: list[tuple[Column, Column]], method: int, hypothesis_length: Column, epsilon: float = 0.1, alpha: float = 5.0, k: float = 5.0) -> list[Column]:
-    """Precisions of each order from (matches, total), smoothed by methods 0 to 7 of Chen and Cherry."""
+def smooth(parts: list[tuple[Column, Column]], method: int, hypothesis_length: Column, extra: Column | None = None, epsilon: float = 0.1, alpha: float = 5.0, k: float = 5.0) -> list[Column]:
+    """Precisions of each order from (matches, total), smoothed by methods 0 to 7 of Chen and Cherry. Methods 5 and 7
+    take the precision of one order more as extra."""
     raw = [a / b for a, b in parts]
     tiny = F.lit(2.2250738585072014e-308)
     if method == 0:
@@ -83,35 +84,35 @@ def smooth(parts: list[tuple[Column, Column]], method: int, hypothesis_length: C
         return [F.when(a != 0, p).otherwise(F.lit(epsilon) / b) for (a, b), p in zip(parts, raw, strict=True)]
     if method == 2:
         return [(a + 1) / (b + 1) for a, b in parts]
-    if method in (3, 4):
+    if method == 3:
         out, zeros = [], F.lit(0)
         for (a, b), p in zip(parts, raw, strict=True):
             zeros = zeros + F.when(a == 0, 1).otherwise(0)
-            if method == 3:
-                value = 1 / (F.pow(F.lit(2.0), zeros) * b)
-            else:
-                value = 1 / (F.pow(F.lit(2.0), zeros - 1) * F.lit(k) / F.log(hypothesis_length.cast("double"))) / b
-                value = F.when(hypothesis_length > 1, value).otherwise(p)
-            out.append(F.when(a == 0, value).otherwise(p))
+            out.append(F.when(a == 0, 1 / (F.pow(F.lit(2.0), zeros) * b)).otherwise(p))
         return out
+    if method == 4:
+        count = F.lit(k) / F.log(F.greatest(hypothesis_length, F.lit(2)).cast("double"))
+        return [F.when((a == 0) & (hypothesis_length > 1), (i + count) / b).otherwise(p) for i, ((a, b), p) in enumerate(zip(parts, raw, strict=True))]
     if method == 5:
-        return _neighbours(raw)
+        return _neighbours(raw, extra)
     if method == 6:
         out = list(raw[:2])
         for i in range(2, len(raw)):
-            guess = F.when(raw[i - 2] == 0, 0.0).otherwise(raw[i - 1] * raw[i - 1] / F.when(raw[i - 2] == 0, 1.0).otherwise(raw[i - 2]))
+            one, two = out[i - 1], out[i - 2]
+            guess = F.when(two == 0, 0.0).otherwise(one * one / F.when(two == 0, 1.0).otherwise(two))
             out.append((parts[i][0] + F.lit(alpha) * guess) / (parts[i][1] + F.lit(alpha)))
         return out
     if method == 7:
-        return _neighbours(smooth(parts, 4, hypothesis_length, epsilon, alpha, k))
+        return _neighbours(smooth(parts, 4, hypothesis_length, extra, epsilon, alpha, k), extra)
     raise ValueError(f"no smoothing method {method}")
 
 
-def _neighbours(raw: list[Column]) -> list[Column]:
-    out, last = [], raw[0] + 1
-    for i, p in enumerate(raw):
-        after = raw[i + 1] if i + 1 < len(raw) else p
-        last = (last + p + after) / 3
+def _neighbours(precisions: list[Column], extra: Column | None) -> list[Column]:
+    """Means of each precision with the smoothed one before it and the plain one after it."""
+    after = [*precisions[1:], precisions[-1] if extra is None else extra]
+    out, last = [], precisions[0] + 1
+    for p, q in zip(precisions, after, strict=True):
+        last = (last + p + q) / 3
         out.append(last)
     return out
 

@@ -58,11 +58,15 @@ def eval_setup(tests: DataFrame, repos: DataFrame, most: int, seed: int = 42, **
     return sampling.evaluation_set(split, chosen)
 
 
+def _each(metric, gold: str, topk: str) -> Column:
+    return F.transform(topk, lambda p: metric(F.col(gold), p).cast("double"))
+
+
 def evaluate(preds: DataFrame, gold: str = "gold", topk: str = "topk", names: Sequence[str] = ("xmatch", "tok-acc", "bleu")) -> DataFrame:
     """preds with a map of metrics over ranked token arrays: of the first, largest, smallest and mean."""
     pairs: list[Column] = []
     for name in names:
-        values = F.transform(topk, lambda p, f=metrics.QUALITY_METRICS[name]: f(F.col(gold), p).cast("double"))
+        values = _each(metrics.QUALITY_METRICS[name], gold, topk)
         for suffix, value in metrics.top_k_summary(values).items():
             pairs += [F.lit(name + suffix), value]
         if name == "xmatch":

@@ -12,9 +12,10 @@ CHANGES = "user_id long, event_type string, ts timestamp, event_id long, value d
 SESSIONS = "session string, seq long, command string, state string, ok boolean"
 
 
-def changed_values(events: DataFrame, watermark: str = "10 minutes", mode: str = "append") -> DataFrame:
+def changed_values(events: DataFrame, watermark: str = "10 minutes", forget_ms: int | None = None) -> DataFrame:
     """Of a stream of events (user_id, event_type, ts, event_id, value), those whose value differs from the last one of
-    the same user and type. Keys that are silent for a day are forgotten."""
+    the same user and type. With forget_ms, keys that are silent for so long are forgotten; such a query runs batches
+    without data too, so it doesn't end with its input."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -27,12 +28,13 @@ def changed_values(events: DataFrame, watermark: str = "10 minutes", mode: str =
         keep = rows["value"] != before
         keep.iloc[0] = not had or last != rows["value"].iloc[0]
         state.update((float(rows["value"].iloc[-1]),))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         if keep.any():
             yield rows.loc[keep, ["user_id", "event_type", "ts", "event_id", "value"]]
 
     keyed = events.withWatermark("ts", watermark).groupBy("user_id", "event_type")
-    return keyed.applyInPandasWithState(step, CHANGES, "last double", mode, GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.applyInPandasWithState(step, CHANGES, "last double", "append", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sessions(commands: DataFrame) -> DataFrame:
