@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from millrace.functions.base import let, positions, total
 
@@ -13,6 +15,9 @@ INT = r"^[+-]?[0-9]+$"
 FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^[+-]?(?:NaN|Infinity)$"
 
 
+PRIMITIVE = frozenset("BCDFIJSZ")
+
+
 def subtokens(token: Column) -> Column:
     """Lower-cased parts; a token that begins with a word character has an empty part in front."""
     parts = F.transform(F.split(token, SUBTOKEN), F.lower)
@@ -47,6 +52,40 @@ def break_descriptors(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, of_token))
 
 
+def join_descriptors(tokens: list[str]) -> list[str]:
+    """The opposite of break_descriptors: pieces that make a method's or an array's or a class's descriptor are joined,
+    all other tokens stay."""
+
+    def type_end(i: int) -> int | None:
+        while i < len(tokens) and tokens[i] == "[":
+            i += 1
+        if i < len(tokens) and tokens[i] in PRIMITIVE:
+            return i + 1
+        return i + 3 if i + 2 < len(tokens) and tokens[i] == "L" and tokens[i + 2] == ";" else None
+
+    def method_end(i: int) -> int | None:
+        i += 1
+        while i < len(tokens) and tokens[i] != ")":
+            if (end := type_end(i)) is None:
+                return None
+            i = end
+        if i + 1 >= len(tokens):
+            return None
+        return i + 2 if tokens[i + 1] == "V" else type_end(i + 1)
+
+    out, i = [], 0
+    while i < len(tokens):
+        end = method_end(i) if tokens[i] == "(" else type_end(i) if tokens[i] in ("[", "L") else None
+        out.append("".join(tokens[i:end]) if end else tokens[i])
+        i = end or i + 1
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def recover_descriptors(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda t: None if t is None else join_descriptors(list(t)))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -162,16 +201,22 @@ def shifted(offset_lists: Column) -> Column:
     return F.flatten(F.transform(offset_lists, lambda x, i: let(total(F.slice(last, F.lit(1), i), "int"), lambda s: F.transform(x, lambda o: F.struct((o["beg"] + s).alias("beg"), (o["end"] + s).alias("end"))))))
 
 
-def with_inputs(named: list[tuple[str, Column]], separator: str | None = None) -> Column:
-    """Token sequences of several inputs on end, each token with its input's name; separators belong to no input."""
+def with_inputs(named: list[tuple[str, Column]], separator: str | None = None, first: bool = False, names: bool = False) -> Column:
+    """Token sequences of several inputs on end, each token with its input's name. A separator stands before each input
+    but the first (or before that too) and is the prefix of the input after it; so are inputs' names, if wanted."""
 
     def of(toks: Column, name: str) -> Column:
-        return F.transform(toks, lambda t: F.struct(t.alias("tok"), F.lit(name).alias("input")))
+        return F.transform(toks, lambda t: F.struct(t.alias("tok"), F.lit(name).alias("input"), F.lit(None).cast("string").alias("prefix_of")))
+
+    def prefix(tok: str, name: str) -> Column:
+        return F.array(F.struct(F.lit(tok).alias("tok"), F.lit(None).cast("string").alias("input"), F.lit(name).alias("prefix_of")))
 
     parts = []
     for k, (name, toks) in enumerate(named):
-        if k and separator is not None:
-            parts.append(F.array(F.struct(F.lit(separator).alias("tok"), F.lit(None).cast("string").alias("input"))))
+        if separator is not None and (k or first):
+            parts.append(prefix(separator, name))
+        if names:
+            parts.append(prefix(name, name))
         parts.append(of(toks, name))
     return F.concat(*parts)
 

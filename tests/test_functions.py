@@ -40,6 +40,18 @@ def test_descriptors_in_pieces(value):
     assert value(T.break_descriptors(arr("POP (I[La/B;)V [La/B; name"))) == ["POP", "(", "I", "[", "L", "a/B", ";", ")", "V", "[", "L", "a/B", ";", "name"]
 
 
+def test_descriptors_are_recovered(spark):
+    for toks in ("POP (I[La/B;)V [La/B; name", "()V x", "I [ [I", "(", "L a", "([J)[[I ) V"):
+        whole = toks.split()
+        df = spark.createDataFrame([(whole,)], "t array<string>")
+        assert df.select(T.recover_descriptors(T.break_descriptors(F.col("t"))).alias("t")).head().t == (["I", "[[I"] if toks == "I [ [I" else whole)
+
+
+def test_inputs(value):
+    got = [tuple(x) for x in value(T.with_inputs([("a", arr("x y")), ("b", arr("z"))], "</s>", names=True))]
+    assert got == [("a", None, "a"), ("x", "a", None), ("y", "a", None), ("</s>", None, "b"), ("b", None, "b"), ("z", "b", None)]
+
+
 def test_instruction_groups(value):
     toks = arr("LDC String POP GETFIELD A POP I RETURN")
     got = value(T.group_by_ops(toks, arr("LDC POP GETFIELD RETURN")))

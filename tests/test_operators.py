@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import filters, ranking, resolve, sampling, summary, trees, tries, windows
 from millrace.plans import stages
-from millrace.sources import tables
+from millrace.sources import exports, tables
 from millrace.streaming import changes
 
 
@@ -169,6 +169,15 @@ def test_sources(spark, tmp_path):
     assert sorted(map(tuple, tables.read_runtime_log(spark, f"{tmp_path}/typevalue").collect())) == [("intVar", "int", "100"), ("s", "java.lang.String", "a b")]
 
 
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(["t", "("], [["a"], ["b"], ["c"]], ["f"])], "test_sign_toks array<string>, test_stmt_toks array<array<string>>, focalm_toks array<string>")
+    pairs = exports.method_and_assertion(df, F.lit(2), F.get("test_stmt_toks", 2))
+    assert tuple(pairs.head()) == ("t ( { a b <AssertPlaceHolder> } f", "c")
+    assert tuple(exports.assertion_samples(df, F.lit(0), F.col("focalm_toks")).head()) == ("f", 't ( { "<AssertPlaceHolder>" ; }', "f")
+    exports.write_pairs(pairs, str(tmp_path))
+    assert spark.read.text(f"{tmp_path}/assertLines").head().value == "c"
+
+
 def test_streamed_changes_equal_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").where("user_id < 20").withColumn("value", F.floor(F.col("value") / 50).cast("double")).withColumn("ts", F.col("ts").cast("timestamp"))
     events.where("user_id < 6").select("user_id", "event_type", "ts", "event_id", "value").coalesce(1).write.parquet(f"{tmp_path}/in")
