@@ -11,7 +11,8 @@ from millrace.functions import metrics as M
 from millrace.functions import names as N
 from millrace.functions import tokens as T
 from millrace.functions.base import words
-from millrace.operators import filters, focal, ranking, resolve, retrieval, sampling, summary, tries, windows
+from millrace.operators import filters, focal, ranking, resolve, retrieval, sampling, summary, trees, tries, windows
+from millrace.plans import stages
 from millrace.sources import tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,7 +249,7 @@ def sequence_assembly(t):
     return turns.select("conv_id", F.array_join(F.transform("x", lambda r: F.concat_ws(" : ", r["role"], r["text"])), " </s> ").alias("prompt"))
 
 
-@query(f"SELECT conv_id, turn, len(w)::INT AS n_text, (1 + 1 + len(w))::INT AS n FROM (SELECT conv_id, turn, {_W} AS w FROM conversations)")
+@query(f"SELECT conv_id, turn, len(w)::INT AS n_text, (2 + len(w))::INT AS n FROM (SELECT conv_id, turn, {_W} AS w FROM conversations)")
 def tokens_with_inputs(t):
     rows = t.conversations.select("conv_id", "turn", T.with_inputs([("role", F.array("role")), ("text", words(F.col("text")))], "</s>").alias("x"))
     return rows.select("conv_id", "turn", F.size(F.filter("x", lambda r: r["input"] == "text")).alias("n_text"), F.size("x").alias("n"))
@@ -680,6 +681,121 @@ def trie_overlap(t):
     return tries.overlap(keys.where("value % 2 = 0"), keys.where("value % 2 = 1")).select(F.array_join("prefix", ".").alias("prefix"))
 
 
+# more of the inventory
+
+
+@query("SELECT c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) WHERE r <= CASE c_mktsegment WHEN 'BUILDING' THEN 8 WHEN 'MACHINERY' THEN 3 ELSE 1000000000 END")
+def split_limits(t):
+    return sampling.limited(t.customer, "c_mktsegment", ["c_custkey"], {"BUILDING": 8, "MACHINERY": 3}).select("c_mktsegment", "c_custkey")
+
+
+@query("SELECT p_partkey, p_size AS first, CASE WHEN p_size % 2 = 0 THEN p_size + 3 ELSE p_size END AS last FROM part")
+def line_ranges(t):
+    text = F.when(F.col("p_size") % 2 == 0, F.concat_ws("-", "p_size", F.col("p_size") + 3)).otherwise(F.col("p_size").cast("string"))
+    return t.part.select("p_partkey", N.line_range(text).alias("r")).select("p_partkey", "r.*")
+
+
+@query("WITH c AS (SELECT p_brand AS cls, 'm$' || p_size || '()V' AS sign, min(p_partkey) AS mid FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2), l AS (SELECT cls, min(mid) AS mid FROM c GROUP BY 1) SELECT p_partkey, coalesce(c.mid, l.mid) AS mid FROM part LEFT JOIN c ON c.cls = p_brand AND c.sign = 'm$' || p_size || '()V' LEFT JOIN l ON l.cls = p_brand")
+def signature_join(t):
+    sign = F.concat(F.lit("m$"), "p_size", F.lit("()V"))
+    rows = t.part.select("p_partkey", F.col("p_brand").alias("cls"), sign.alias("sign"))
+    compiled = rows.where("p_partkey % 2 = 0").groupBy("cls", "sign").agg(F.min("p_partkey").alias("mid"))
+    return resolve.by_signature(rows, compiled).select("p_partkey", "mid")
+
+
+@query(f"SELECT conv_id, turn, (len(w) + 3)::INT AS size, CASE WHEN len(w) > 0 THEN 3 ELSE 2 END::INT AS height, role || ' ' || array_to_string(w, ' ') AS toks, (len(w) + 1)::INT AS last_end FROM (SELECT conv_id, turn, role, {_W} AS w FROM conversations) WHERE len(w) > 0")
+def tree_features(t):
+    w = words(F.col("text"))
+    leaf = lambda x: F.concat(F.lit('["Word:id","2","'), x, F.lit('"]'))
+    tree = F.concat(F.lit('["Turn","1-2",["Role:kw","1","'), F.col("role"), F.lit('"],["BlockStmt","2",'), F.array_join(F.transform(w, leaf), ","), F.lit("]]"))
+    n = t.conversations.where(F.size(w) > 0).select("conv_id", "turn", trees.parse_tree(tree).alias("n"))
+    return n.select("conv_id", "turn", trees.tree_size(F.col("n")).alias("size"), trees.tree_height(F.col("n")).alias("height"), T.joined(trees.tree_tokens(F.col("n"))).alias("toks"), trees.tree_size(trees.body(F.col("n"))).alias("last_end"))
+
+
+@query(f"SELECT conv_id, turn, list_sum(list_transform(w, lambda x: ceil(length(x) / 3.0)))::INT AS subtokens, len(w)::INT AS tokens FROM (SELECT conv_id, turn, {_W}[1:40] AS w FROM conversations) WHERE len(w) > 0")
+def offset_maps(t):
+    w = F.slice(words(F.col("text")), 1, 40)
+    rows = t.conversations.select("conv_id", "turn", F.transform(w, lambda x: F.regexp_extract_all(x, F.lit("(.{1,3})"), F.lit(1))).alias("p")).where("size(p) > 0")
+    o = T.offsets(F.col("p"))
+    return rows.select("conv_id", "turn", F.element_at(o, -1)["end"].alias("subtokens"), (F.array_max(T.token_of_subtoken(F.col("p"))) + 1).alias("tokens"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_append(w[2:], '_'), ' ') AS rolled FROM (SELECT conv_id, turn, {_W} AS w FROM conversations) WHERE len(w) > 0")
+def roll_left(t):
+    w = words(F.col("text"))
+    return t.conversations.where(F.size(w) > 0).select("conv_id", "turn", T.joined(T.roll_left(w, F.lit("_"))).alias("rolled"))
+
+
+@query("SELECT r_name AS model, n_nationkey AS trial FROM region CROSS JOIN nation WHERE r_name NOT IN ('ASIA') AND n_nationkey < 5")
+def model_trials(t):
+    models = t.region.select(F.col("r_name").alias("model"), F.array(F.when(F.col("r_name") == "ASIA", "assert").otherwise("x"), F.lit("x")).alias("tags"))
+    chosen = filters.selected_models(models, ["x"], models.where("false"))
+    # a few models by a few trials
+    return chosen.select("model").crossJoin(t.nation.where("n_nationkey < 5").select(F.col("n_nationkey").alias("trial")))
+
+
+@query("SELECT conv_id, turn, role NOT IN (SELECT b.role FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn < a.turn) AS fresh FROM conversations a")
+def unseen_values(t):
+    rows = t.conversations.select("conv_id", "turn", F.array("role").alias("lits"), F.array("role").alias("vals"))
+    return windows.unseen_literals(rows, ["conv_id"], ["turn"], "lits", "vals").select("conv_id", "turn", (F.size("nontrivial") > 0).alias("fresh"))
+
+
+@query(f"SELECT a.page_id AS query_id, b.page_id AS hit FROM ({_KEYS}) a JOIN ({_KEYS}) b ON b.k[1:2] = a.k[1:2] AND len(b.k) >= 2 WHERE a.page_id % 10 = 0 AND len(a.k) >= 2")
+def trie_prefix_join(t):
+    keys = t.pages.select(F.split(F.regexp_extract("url", "://([^/?#]*)", 1), r"\.").alias("key"), F.col("page_id").alias("value")).where("size(key) >= 2")
+    asked = keys.where("value % 10 = 0").select(F.slice("key", 1, 2).alias("query"), F.col("value").alias("query_id"))
+    return tries.prefix_join(asked, keys).select("query_id", F.col("value").alias("hit"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'the')))::BIGINT AS n FROM documents")
+def count_marked_lines(t):
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(F.col("line").contains("the")).alias("n"))
+
+
+@query("SELECT event_id, event_type AS name, user_id::VARCHAR AS type, props AS value FROM events")
+def runtime_log_lines(t):
+    line = F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), "props")
+    return t.events.select("event_id", T.log_line(line).alias("r")).select("event_id", "r.*")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 100.0 * toxic WHEN toxic = 1 THEN round((0.25 * quality + 0.75 * 100) / 1.0, 9) ELSE 1.0 * quality END::DOUBLE AS score FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN quality END AS quality, toxic FROM labels WHERE doc_id % 5 > 0 OR toxic = 1)")
+def combined_score(t):
+    rows = t.labels.where("doc_id % 5 > 0 or toxic = 1")
+    q = F.when(F.col("doc_id") % 5 > 0, F.col("quality").cast("double"))
+    x = F.when(F.col("toxic") == 1, 100.0).otherwise(float("nan"))
+    return rows.select("doc_id", F.round(M.code_bleu([q, x], (0.25, 0.75)), 9).alias("score"))
+
+
+@query(_PAIRS + f" SELECT round(avg(first), 6) AS xmatch, round(avg(top3), 6) AS xmatch_top3, round(avg(acc), 6) AS tok_acc FROM (SELECT item_id, max({_MATCH}) FILTER (rank = 1) AS first, max({_MATCH}) FILTER (rank <= 3) AS top3, max(CASE WHEN least(len(g), len(p)) = 0 THEN 0 ELSE 100.0::DOUBLE * len(list_filter(range(1, least(len(g), len(p)) + 1), lambda i: g[i] = p[i])) / least(len(g), len(p)) END) FILTER (rank = 1) AS acc FROM p GROUP BY 1)")
+def evaluate_predictions(t):
+    per = _ranked(t).groupBy("item_id").agg(F.first("g").alias("gold"), F.array_sort(F.collect_list(F.struct("rank", "p"))).alias("x")).select("item_id", "gold", F.col("x.p").alias("topk"))
+    m = stages.evaluate(per, names=("xmatch", "tok-acc")).select("metrics")
+    got = summary.means(m).groupBy().pivot("metric", ["xmatch", "xmatch-top3", "tok-acc"]).agg(F.round(F.first("mean"), 6))
+    return got.toDF("xmatch", "xmatch_top3", "tok_acc")
+
+
+@query("WITH c AS (SELECT conv_id, min(turn) AS i FROM conversations WHERE role = 'assistant' GROUP BY 1), r AS (SELECT conv_id, i FROM c WHERE conv_id % 2 = 0 AND i >= 1) SELECT r.conv_id AS id, i AS stmt_i, m.text AS gold, i AS n_before FROM r JOIN conversations m ON m.conv_id = r.conv_id AND m.turn = r.i")
+def evaluation_set(t):
+    per = t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    tests = per.select("id", (F.col("id") % 2).alias("proj_name"), F.transform("x", lambda r: F.array(F.when(r["role"] == "assistant", F.lit("assertThat")).otherwise(r["role"]), r["text"])).alias("test_stmt_toks"))
+    repos = t.rows([(0, "val")], "proj_name long, sources string")
+    got = stages.eval_setup(tests, repos, 1_000_000, first_assertion=True, min_stmt=1)
+    return got.select("id", F.col("stmt_i").cast("long").alias("stmt_i"), F.get("gold_stmts", 1).alias("gold"), F.size("test_stmt_toks").cast("long").alias("n_before"))
+
+
+@query()
+def comments_removed(t):
+    return t.pages.select("page_id", F.length(T.remove_comments(F.col("html"))).alias("n"))
+
+
+@query()
+def descriptors_recovered(t):
+    tok = F.concat(F.lit("(I[Lx/"), F.translate("c_mktsegment", " ", "_"), F.lit(";)V"))
+    broken = T.break_descriptors(F.array(F.lit("POP"), tok))
+    return t.customer.select("c_custkey", T.joined(T.recover_descriptors(broken)).alias("toks"), F.size(broken).alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, extremes and best of each metric over ranked predictions of each benchmark item."""
     rows = _ranked(Tables(spark, sf_dir))
