@@ -169,6 +169,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
         for pdf in batches:
             ids = list(bpe.pieces.each(pdf["t"].tolist()))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.astype("<u4").tobytes() for x in ids], "n_tokens": [len(x) for x in ids]})
+        bpe.pieces.clear()  # the worker lives on in other stages
 
     return df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, _schema(df, "ids binary, n_tokens long"))
 
@@ -182,6 +183,7 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
         for pdf in batches:
             out = [(len(x), sha(x.astype("<u4").tobytes()), sha(bpe.decode(x))) for x in bpe.pieces.each(pdf["t"].tolist())]
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=pdf["doc_id"].to_numpy())
+        bpe.pieces.clear()  # the worker lives on in other stages
 
     return df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, _schema(df, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 

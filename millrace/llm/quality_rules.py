@@ -119,11 +119,18 @@ def ordered(df: DataFrame, rules=BASE + EXTRA, text: str = "text", sample_rows:
 
 
 def rejected_by(rules, text: Column, ready: dict[str, Column] | None = None) -> Column:
-    """Name of the first rule in this order that rejects, else null; later rules aren't evaluated."""
-    chain = F.lit(None).cast("string")
-    for rule in reversed(list(rules)):
-        chain = F.when(verdict(rule, text, ready), F.lit(rule.name)).otherwise(chain)
-    return chain
+    """Name of the first rule in this order that rejects, else null; later rules aren't evaluated. A text is cut into
+    words once for all rules."""
+
+    def chain(known: dict[str, Column]) -> Column:
+        out = F.lit(None).cast("string")
+        for rule in reversed(list(rules)):
+            out = F.when(verdict(rule, text, known), F.lit(rule.name)).otherwise(out)
+        return out
+
+    if ready is not None:
+        return chain(ready)
+    return let(words(text), lambda w: chain({"n_words": F.size(w).cast("long"), "n_repeat_words": repeated(w)}))
 
 
 def quality_filter(df: DataFrame, rules=BASE + EXTRA, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
