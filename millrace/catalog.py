@@ -284,8 +284,10 @@ _UP = f"WITH RECURSIVE c AS ({_CLASSES}), up AS (SELECT cid, cid AS ancestor, 0
 
 
 def _classes(t):
-    p = F.col("p_partkey").cast("int")
-    return t.part.where("p_partkey > 0").select(p.alias("cid"), F.floor(p / 2).cast("int").alias("ext0"), "p_size", "p_name").select("cid", F.when(F.col("ext0") > 0, F.col("ext0")).alias("ext"), F.when(F.col("cid") % 3 == 0, F.array((F.col("cid") / 3).cast("int"))).otherwise(F.array().cast("array<int>")).alias("impl"), F.concat(F.lit("c"), "cid").alias("name"), F.lit(1).alias("access"), F.col("p_size"), "p_name")
+    cid = F.col("p_partkey")
+    ext = F.floor(cid / 2)
+    impl = F.when(cid % 3 == 0, F.array((cid / 3).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return t.part.where("p_partkey > 0").select(cid.alias("cid"), F.when(ext > 0, ext).alias("ext"), impl.alias("impl"), F.concat(F.lit("c"), cid).alias("name"), F.lit(1).alias("access"), "p_size", "p_name")
 
 
 @query(f"{_UP} SELECT cid, ancestor, depth FROM up")
@@ -296,7 +298,7 @@ def ancestor_chain(t):
 
 @query(f"{_UP}, m AS (SELECT p_partkey AS mid, p_partkey AS cid, p_name AS namedesc FROM part WHERE p_partkey > 0 AND p_partkey % 3 = 1), q AS (SELECT p_partkey AS cid, p_name AS namedesc FROM part WHERE p_partkey > 0) SELECT q.cid, q.namedesc, arg_min(m.mid, up.depth) AS mid FROM q JOIN up USING (cid) LEFT JOIN m ON m.cid = up.ancestor AND m.namedesc = q.namedesc GROUP BY 1, 2")
 def virtual_lookup(t):
-    c = _classes(t).withColumn("impl", F.array().cast("array<int>"))
+    c = _classes(t).withColumn("impl", F.array().cast("array<long>"))
     methods = c.where("cid % 3 = 1").select(F.col("cid").alias("mid"), "cid", F.col("p_name").alias("namedesc"), F.lit(1).alias("access"))
     asked = c.select("cid", F.col("p_name").alias("namedesc"), F.lit("INVOKEVIRTUAL").alias("op"))
     return resolve.lookup_methods(asked, c, methods).select("cid", "namedesc", F.col("mid").cast("long").alias("mid"))
@@ -326,7 +328,7 @@ def edges_from_to(t):
 
 @query(f"{_UP}, m AS (SELECT p_partkey AS mid, p_partkey AS cid, 'm' || p_size % 5 AS namedesc FROM part WHERE p_partkey > 0) SELECT a.mid, arg_max(b.mid, depth) AS overridden FROM m a JOIN up ON up.cid = a.cid AND depth > 0 JOIN m b ON b.cid = up.ancestor AND b.namedesc = a.namedesc GROUP BY 1")
 def override_edges(t):
-    c = _classes(t).withColumn("impl", F.array().cast("array<int>"))
+    c = _classes(t).withColumn("impl", F.array().cast("array<long>"))
     methods = c.select(F.col("cid").alias("mid"), "cid", F.concat(F.lit("m"), F.col("p_size") % 5).alias("namedesc"), "access")
     return resolve.override_edges(c, methods).select(F.col("mid").cast("long").alias("mid"), F.col("overridden").cast("long").alias("overridden"))
 
