@@ -45,7 +45,7 @@ FREQUENT = 5000
 CUT = 25
 #: Bytes of text that are scanned at once, and bytes of pieces among which a task looks for equal ones.
 SCAN = 1 << 16
-COMBINE = 16 << 20
+COMBINE = 8 << 20
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
 
@@ -393,7 +393,7 @@ def _cut(batches):
                     else:
                         had[2] += n
                     places.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), k, t1, a))
-            if size > COMBINE or len(places) > 200_000:
+            if size > COMBINE or len(places) > 100_000:
                 yield from out()
         if places:
             yield from out()
@@ -481,13 +481,15 @@ def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     stops = F.concat(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(0))), F.array((F.col("n_bytes") - (WINDOW - 1)).cast("int")))
     zipped = F.arrays_zip(F.col("leaders").alias("leader"), F.col("firsts").alias("first"), stops.alias("stop"), F.col("places").alias("place"))
     rows = texts.where(F.size("leaders") > 0).select("k", "t1", "n", F.inline(zipped)).toDF("k", "t1", "n", "leader", "first", "stop", "place")
-    often = rows.groupBy("leader").agg(F.sum("n").alias("c")).where("c > 1").select("leader", (F.col("c") >= FREQUENT).alias("often"))
+    # written, so that the join deals it out anew and Spark can split a frequent leader's side of it
+    often = saved(rows.groupBy("leader").agg(F.sum("n").alias("c")).where("c > 1").select("leader", (F.col("c") >= FREQUENT).alias("often")), "leaders")
     chosen = rows.join(often, "leader").groupBy("k", "t1").agg(F.first("n").alias("n"), F.collect_list(F.struct("leader", "first", "stop", "place", "often")).alias("runs"))
     keyed = docs.withColumn("k_", F.coalesce("doc_id", F.lit(NO_ID)))
     cut = keyed.join(chosen, keyed["k_"] == chosen["k"]).select("t", "k", "t1", "n", "runs").mapInPandas(_cut, "p1 long, p2 long, leader long, piece binary, times long, k long, t1 long, first int")
     pieces = saved(cut, "pieces")
     copies = saved(texts.select("sha", "n"), "copies")
     drop_table(texts)
+    drop_table(often)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.where("piece is not null").select("leader", "p1", "p2", "piece", "times").repartition(parts, "leader").sortWithinPartitions("leader", "p1", "p2")
     masks = dealt.mapInPandas(_judge, "p1 long, p2 long, mask binary, windows int")
