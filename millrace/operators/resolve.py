@@ -3,8 +3,9 @@
 classes: (cid, ext, impl array, name, access, scope); methods: (mid, cid, namedesc, access); fields: (fid, cid, name).
 Missing links are null (negative ids count as missing). Distinct keys are resolved once and joined back.
 
-Closures are taken level by level, each level one join written where Spark keeps it; a bound on levels and the set of
-classes already reached end them, also on cycles."""
+Closures are bounded loops of joins whose rounds are written, so plans stay small whatever the depth. Superclasses are
+found by doubling: the 2^k-th superclass of each class is joined in round k. Superinterfaces are found level by level;
+pairs already found aren't followed again, which ends cycles too."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.names import has_flag
+from millrace.sources.scratch import saved
 
 MOST_LEVELS = 64
 
@@ -21,33 +23,34 @@ def link(id: Column) -> Column:
 
 
 def superclasses(classes: DataFrame, start: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
-    """(cid, ancestor, depth): start's classes themselves (depth 0) and their superclasses."""
-    classes.select("cid", link(F.col("ext")).alias("ext")).createOrReplaceTempView("super_links_")
-    start.select("cid").distinct().createOrReplaceTempView("super_start_")
-    return classes.sparkSession.sql(
-        f"""WITH RECURSIVE up(cid, ancestor, depth, path) AS (
-            SELECT cid, cid, 0, array(cid) FROM super_start_
-            UNION ALL
-            SELECT u.cid, l.ext, u.depth + 1, concat(u.path, array(l.ext)) FROM up u JOIN super_links_ l ON u.ancestor = l.cid
-            WHERE l.ext IS NOT NULL AND u.depth < {most} AND NOT array_contains(u.path, l.ext))
-        SELECT cid, ancestor, depth FROM up"""
-    )
+    """(cid, ancestor, depth): start's classes themselves (depth 0) and their superclasses, at their least depth."""
+    jump = saved(classes.select("cid", link(F.col("ext")).alias("to")).where("to is not null"), "jump")
+    up = start.select("cid").distinct().select("cid", F.col("cid").alias("ancestor"), F.lit(0).alias("depth"))
+    size = 1
+    while size < most and not jump.isEmpty():
+        up = saved(up, "up") if size > 1 else up
+        above = up.join(jump.withColumnRenamed("cid", "ancestor"), "ancestor").select("cid", F.col("to").alias("ancestor"), (F.col("depth") + size).alias("depth"))
+        up = up.union(above)
+        twice = jump.select("cid", F.col("to").alias("mid")).join(jump.select(F.col("cid").alias("mid"), "to"), "mid")
+        jump = saved(twice.select("cid", "to"), "jump")
+        size *= 2
+    return up.groupBy("cid", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def superinterfaces(classes: DataFrame, start: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     """(cid, ancestor, rank): superinterfaces of start's classes in breadth-first order, each at its first place."""
-    edges = classes.select("cid", F.posexplode("impl").alias("pos", "to")).where("to >= 0")
-    edges.createOrReplaceTempView("impl_links_")
-    start.select("cid").distinct().createOrReplaceTempView("impl_start_")
-    found = classes.sparkSession.sql(
-        f"""WITH RECURSIVE up(cid, ancestor, depth, place, path) AS (
-            SELECT s.cid, l.to, 1, array(l.pos), array(s.cid, l.to) FROM impl_start_ s JOIN impl_links_ l ON s.cid = l.cid
-            UNION ALL
-            SELECT u.cid, l.to, u.depth + 1, concat(u.place, array(l.pos)), concat(u.path, array(l.to)) FROM up u JOIN impl_links_ l ON u.ancestor = l.cid
-            WHERE u.depth < {most} AND NOT array_contains(u.path, l.to))
-        SELECT cid, ancestor, min(struct(depth, place)) AS at FROM up GROUP BY cid, ancestor"""
-    )
-    return found.select("cid", "ancestor", F.row_number().over(Window.partitionBy("cid").orderBy("at")).alias("rank"))
+    edges = classes.select(F.col("cid").alias("ancestor"), F.posexplode("impl").alias("pos", "to")).where("to >= 0")
+    now = start.select("cid").distinct().select("cid", F.col("cid").alias("ancestor"), F.array().cast("array<int>").alias("place"))
+    found = None
+    for depth in range(1, most + 1):
+        there = now.join(edges, "ancestor").where("to != cid").groupBy("cid", F.col("to").alias("ancestor")).agg(F.min(F.concat("place", F.array("pos"))).alias("place"))
+        if found is not None:
+            there = there.join(found, ["cid", "ancestor"], "left_anti")
+        now = saved(there.withColumn("depth", F.lit(depth)), "interfaces")
+        if depth > 1 and now.isEmpty():
+            break
+        found = now if found is None else found.union(now)
+    return found.select("cid", "ancestor", F.row_number().over(Window.partitionBy("cid").orderBy("depth", "place")).cast("int").alias("rank"))
 
 
 def lookup_class(owners: DataFrame, classes: DataFrame, owner: str = "owner") -> DataFrame:
