@@ -63,11 +63,14 @@ def test_rules(limits: dict | None = None) -> list[tuple[str, Column]]:
 
 def size_between(df: DataFrame, group: str, least: int = 1, most: int | None = None, order: Sequence[str | Column] = ()) -> DataFrame:
     """Rows of groups with at least so many rows, at most so many of each, the first in the given order."""
-    w = Window.partitionBy(group)
-    out = df.withColumn("group_n_", F.count(F.lit(1)).over(w)).where(F.col("group_n_") >= least)
+    n = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_n_")).where(F.col("group_n_") >= least)
+    out = df.join(n, group)
     if most is not None:
-        out = out.withColumn("rank_", F.row_number().over(w.orderBy(*order))).where(F.col("rank_") <= most).drop("rank_")
-    return out.drop("group_n_")
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        # groups within the limit need no order
+        over = out.where(F.col("group_n_") > most).withColumn("rank_", rank).where(F.col("rank_") <= most).drop("rank_")
+        out = out.where(F.col("group_n_") <= most).unionByName(over)
+    return out.drop("group_n_").select(df.columns)
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
