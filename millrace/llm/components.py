@@ -37,7 +37,8 @@ def _state(e: DataFrame) -> tuple:
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of u is tied to the smallest of u and its neighbours."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    # written, so that the join deals it out anew and Spark can split a hub's side of it
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")), "least")
     tied = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     return tied.distinct()
 
