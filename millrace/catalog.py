@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import code as C
 from millrace.functions import metrics as M
 from millrace.functions import names as N
 from millrace.functions import tokens as T
@@ -786,6 +787,25 @@ def evaluation_set(t):
     return got.select("id", F.col("stmt_i").cast("long").alias("stmt_i"), F.get("gold_stmts", 1).alias("gold"), F.size("test_stmt_toks").cast("long").alias("n_before"))
 
 
+def _statements(t) -> DataFrame:
+    """(c_custkey, g, p): made statements, of which every third is another."""
+    g = F.format_string("int x%d = f(a, b + %d); y = x%d; if (y > 0) { return y; }", F.col("c_custkey"), F.col("c_nationkey"), F.col("c_custkey"))
+    return t.customer.select("c_custkey", g.alias("g"), F.when(F.col("c_custkey") % 3 == 0, F.lit("y = f(a); while (y) y = 0;")).otherwise(F.replace(g, F.lit("b"), F.lit("c"))).alias("p"))
+
+
+@query("SELECT c_custkey, 100.0::DOUBLE AS syntax, 100.0::DOUBLE AS flow FROM customer WHERE c_custkey % 3 > 0")
+def code_match(t):
+    rows = _statements(t).where("c_custkey % 3 > 0")
+    return rows.select("c_custkey", C.score(C.syntax_match("g", "p")).alias("syntax"), C.score(C.data_flow_match("g", "p")).alias("flow"))
+
+
+@query()
+def code_match_corpus(t):
+    rows = _statements(t).select(C.syntax_match("g", "p").alias("s"), C.data_flow_match("g", "p").alias("d"), M.bleu(F.split("g", " "), F.split("p", " "), 1).alias("b"), M.weighted_ngram(F.split("g", " "), F.split("p", " ")).alias("w"))
+    sums = rows.agg(F.avg("b").alias("b"), F.avg("w").alias("w"), *(F.struct(F.sum(f"{c}.matched").alias("matched"), F.sum(f"{c}.total").alias("total")).alias(c) for c in "sd"))
+    return sums.select(F.round(M.code_bleu([F.col("b"), F.col("w"), C.score(F.col("s")), C.score(F.col("d"))]), 6).alias("code_bleu"))
+
+
 @query()
 def comments_removed(t):
     return t.pages.select("page_id", F.length(T.remove_comments(F.col("html"))).alias("n"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import code as C
 from millrace.functions import metrics as M
 from millrace.functions import names as N
 from millrace.functions import tokens as T
@@ -137,3 +138,18 @@ def test_other_metrics(spark, value):
     assert value(M.pass_at_k(F.lit(1), F.lit(1), 3)) == 1
     s = M.top_k_summary(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(1.0), F.lit(3.0)))
     assert [value(s[k]) for k in ("", "-max", "-min", "-avg", "-wavg")] == [1, 3, 1, 2, 2.5]
+
+
+def test_syntax_and_data_flow(spark):
+    code = "int x = f(a, b + 1); y = x; if (y > 0) { return y; }"
+    assert C.syntax_parts(code, code)[0] == C.syntax_parts(code, code)[1] > 5
+    renamed = "int p = g(q, r + 2); s = p; if (s > 9) { return s; }"
+    assert C.syntax_parts(code, renamed) == C.syntax_parts(code, code)
+    assert C.data_flow(code) == C.data_flow(renamed) and ("var_3", "computedFrom", ("var_2",)) not in C.data_flow("")
+    assert [e[1] for e in C.data_flow("x = 1; y = x + x; z += y;")] == ["computedFrom", "comesFrom", "comesFrom", "computedFrom", "comesFrom", "computedFrom"]
+    other = "while (true) ;"
+    assert C.syntax_parts(code, other)[0] < C.syntax_parts(code, code)[1] and C.data_flow_parts(code, other)[0] == 0
+    assert C.parsed("f((a]) {").kind == "program" and C.syntax_parts("", "x") == (0, 0)
+    df = spark.createDataFrame([(code, renamed), ("", "x"), (None, None)], "g string, p string")
+    got = df.select(C.score(C.syntax_match("g", "p")).alias("s"), C.score(C.data_flow_match("g", "p")).alias("d")).collect()
+    assert got[0].s == 100 and got[0].d == 100 and got[1].s != got[1].s and got[2].d != got[2].d
