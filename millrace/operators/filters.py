@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.metrics import occurrences
+
 BAD_NAME = r"^[tT][eE][sS][tT]_?\d*$"
 # Default limits of the cascade.
 LIMITS = {"min_stmts": 1, "max_stmts": 20, "min_focal": 1, "max_focal": 200, "max_all": 400, "max_stmt": 100, "max_rows": 10_000}
@@ -100,7 +102,7 @@ def runtime_valid(delta: Column, stmts: Column) -> Column:
 
 def degenerate(tokens: Column, most: int = 10) -> Column:
     """Whether some token comes at least so often."""
-    return F.exists(F.array_distinct(tokens), lambda t: F.size(F.filter(tokens, lambda x: x == t)) >= most)
+    return F.exists(occurrences(tokens), lambda x: x["c"] >= most)
 
 
 def selected_models(models: DataFrame, tags: Sequence[str], existing: DataFrame, need: str = "missing") -> DataFrame:
