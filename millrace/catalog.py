@@ -481,7 +481,8 @@ def _ranked(t) -> DataFrame:
     n = t.benchmark.count()
     both = t.benchmark.select("item_id", words(F.col("text")).alias("g")).join(t.documents.select("doc_id", (F.col("doc_id") % n).alias("item_id"), F.col("text")), "item_id")
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
-    return ranked.select("item_id", "doc_id", "rank", "g", words(F.col("text")).alias("p"))
+    # few bytes, but much to compute for each row: one partition a core
+    return ranked.repartition(t._spark.sparkContext.defaultParallelism).select("item_id", "doc_id", "rank", "g", words(F.col("text")).alias("p"))
 
 
 _MATCH = "CASE WHEN len(g) = 0 OR len(p) = 0 THEN 0 WHEN g = p THEN 100 ELSE 0 END"
