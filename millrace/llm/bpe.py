@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import spread
 from millrace.llm.pretokens import PieceEncoder, load_ranks
 
 #: The class of white space for the pattern; Python's \s has U+001C to U+001F besides.
@@ -171,7 +172,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.astype("<u4").tobytes() for x in ids], "n_tokens": [len(x) for x in ids]})
         bpe.pieces.clear()  # the worker lives on in other stages
 
-    return df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, _schema(df, "ids binary, n_tokens long"))
+    return spread(df.select("doc_id", text)).select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, _schema(df, "ids binary, n_tokens long"))
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -185,7 +186,7 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=pdf["doc_id"].to_numpy())
         bpe.pieces.clear()  # the worker lives on in other stages
 
-    return df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, _schema(df, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return spread(df.select("doc_id", text)).select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, _schema(df, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def _schema(df: DataFrame, rest: str) -> str:

@@ -63,6 +63,16 @@ def drop_table(df: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores if its files are read by fewer tasks: work on texts takes longer than moving them.
+    Of no effect on inputs of more splits than cores."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size // split < cores else df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, inside one lazily evaluated expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

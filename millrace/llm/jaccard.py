@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.blocks import block_pairs, by_group, linked
-from millrace.llm.common import saved
+from millrace.llm.common import saved, spread
 from millrace.llm.components import components
 
 SHINGLE = 5
@@ -232,7 +232,7 @@ def similarity_join(df: DataFrame, text: str = "text") -> DataFrame:
             halves = [pd.array([x[k] for x in out], "Int64") for k in (0, 1)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "c1": halves[0], "c2": halves[1], "bands": [x[2] for x in out]})
 
-    signed = saved(docs.where("doc_id is not null").mapInPandas(sign, "doc_id long, c1 long, c2 long, bands array<long>"), "signed")
+    signed = saved(spread(docs).where("doc_id is not null").mapInPandas(sign, "doc_id long, c1 long, c2 long, bands array<long>"), "signed")
     classes = saved(
         signed.where("c1 is not null").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.count(F.lit(1)).alias("n")).select("c1", "c2", "n", F.col("m.doc_id").alias("id"), F.col("m.bands").alias("bands")),
         "classes",

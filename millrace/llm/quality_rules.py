@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, let, words
+from millrace.llm.common import SPACES, let, spread, words
 
 SYMBOLS = "#*$%&|<>"
 #: Rows on which costs and selectivities are estimated.
@@ -135,14 +135,14 @@ def rejected_by(rules, text: Column, ready: dict[str, Column] | None = None) ->
 
 def quality_filter(df: DataFrame, rules=BASE + EXTRA, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects."""
-    return df.where(rejected_by(ordered(df, rules, text, sample_rows), F.col(text).cast("string")).isNull())
+    return spread(df).where(rejected_by(ordered(df, rules, text, sample_rows), F.col(text).cast("string")).isNull())
 
 
 def quality_report(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """df's doc_id with every measure, base_failed and kept."""
     order = ordered(df, BASE + EXTRA, text, sample_rows)
     t = F.col(text).cast("string")
-    counts = df.select(
+    counts = spread(df.select("doc_id", text)).select(
         "doc_id",
         let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated(w).alias("r"))).alias("w"),
         *(MEASURES[m](t).alias(m) for m in ("word_chars", "n_symbols", "n_dup_lines")),

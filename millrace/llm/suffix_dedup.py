@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop_table, saved
+from millrace.llm.common import drop_table, saved, spread
 
 WINDOW = 200
 GRAM = 64
@@ -470,7 +470,7 @@ def _kept(batch: pa.RecordBatch, text: str, marks: str):
 
 def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scanned documents, copies of each text, marks of the texts that have any) for docs of (doc_id, t)."""
-    scanned = saved(docs.mapInPandas(_scan, "doc_id long, sha string, t1 long, n_bytes long, leaders array<long>, firsts array<int>, places array<int>"), "scanned")
+    scanned = saved(spread(docs).mapInPandas(_scan, "doc_id long, sha string, t1 long, n_bytes long, leaders array<long>, firsts array<int>, places array<int>"), "scanned")
     texts = saved(
         scanned.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("k"), *(F.first(c).alias(c) for c in ("t1", "n_bytes", "leaders", "firsts", "places"))),
         "texts",

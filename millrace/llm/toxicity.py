@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import spread
 from millrace.llm.jaccard import fmix
 from millrace.llm.samples import first_by_hash, fold
 from millrace.llm.suffix_dedup import _pass, words_at
@@ -248,5 +249,5 @@ def score(df: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
                 evidence.append([{"doc_id": int(m.index.ids[k]), "cosine": float(v), "label": int(m.index.labels[k])} for k, v in zip(got, cos, strict=True)])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": m.score(np.array(x).reshape(len(x), -1)), "evidence": evidence})
 
-    scored = docs.withColumn("held_out", fold(F.col("doc_id"), folds) == held_out).mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, evidence array<struct<doc_id:long,cosine:double,label:int>>")
+    scored = spread(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == held_out).mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, evidence array<struct<doc_id:long,cosine:double,label:int>>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
