@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm.blocks import block_pairs, by_group, linked
 from millrace.llm.common import saved
 from millrace.llm.components import components
+from millrace.llm.samples import first_by_hash
 
 THRESHOLD = 0.98
 SAMPLE = 16384
@@ -66,8 +67,8 @@ def near_vectors(df: DataFrame, vector: str = "embedding", label: str = "label",
     digest = F.md5(F.to_json(F.struct(F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))))
     keyed = saved(rows.withColumn("class", F.when(usable, F.concat_ws(":", digest, F.col("label")))).select("vec_id", "label", "class", F.when(usable, F.col("v")).alias("v")), "vectors")
     classes = saved(keyed.where("class is not null").groupBy("class").agg(F.min(F.struct("vec_id", "label", "v")).alias("m"), F.count(F.lit(1)).alias("n")).select("class", "n", F.col("m.vec_id").alias("id"), F.col("m.label").alias("label"), F.col("m.v").alias("v")), "classes")
-    sample = classes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]
     total = classes.count()
+    sample = first_by_hash(classes.select("id", "v"), SAMPLE, "id", total).select("v").toPandas()["v"]
     centres = {}
     for size in sorted({len(x) for x in sample}):
         x = unit(np.stack([v for v in sample if len(v) == size]))

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import spread
 from millrace.llm.samples import first_by_hash, fold
 from millrace.llm.toxicity import logistic
 
@@ -168,9 +169,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
 
     def describe(batches):
         for pdf in batches:
-            yield pdf[["kind", "y"]].assign(x=[list(map(float, features(t))) for t in pdf["t"]])
+            yield pdf[["doc_id", "kind", "y"]].assign(x=[list(map(float, features(t))) for t in pdf["t"]])
 
-    rows = docs.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "t").select("kind", "y", "t").mapInPandas(describe, "kind string, y int, x array<double>").toPandas()
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "kind", "y", "t").mapInPandas(describe, "doc_id long, kind string, y int, x array<double>").toPandas()
+    # sorted here: a sort in Spark would send texts to the driver for its boundaries
+    rows = rows.assign(tie=rows["x"].map(tuple)).sort_values(["doc_id", "kind", "tie"]).reset_index(drop=True)
     of = lambda kind: np.array(rows.loc[rows["kind"] == kind, "x"].tolist()).reshape(-1, len(FEATURES))
     return Model(of("positive"), of("unlabelled"), of("labelled"), rows.loc[rows["kind"] == "labelled", "y"].to_numpy(np.float64))
 
@@ -185,5 +188,5 @@ def score(df: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
             x = np.array([features(t) for t in pdf["t"]]).reshape(-1, len(FEATURES))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": model.value.score(x)})
 
-    scored = docs.withColumn("held_out", fold(F.col("doc_id"), folds) == held_out).mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    scored = spread(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == held_out).mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
