@@ -17,13 +17,19 @@ import regex
 REMEMBERED = 800_000
 #: Characters of text that are cut at once.
 CHUNK_CHARS = 2_000_000
-#: Texts below this character have no white space but that of OTHER_WHITE, space and line feed.
-PLAIN_BELOW = chr(0x250)
+#: Texts without these characters have no white space but that of OTHER_WHITE, space and line feed.
+BEYOND_PLAIN = regex.compile("[\u0250-\U0010ffff]")
 OTHER_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def is_plain(text: str) -> bool:
-    return text.isascii() or max(text) < PLAIN_BELOW
+    if text.isascii():
+        return True
+    try:  # the quick way for most others
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return BEYOND_PLAIN.search(text) is None
+    return True
 
 
 def is_single_spaced(text: str) -> bool:

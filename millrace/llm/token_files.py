@@ -227,7 +227,8 @@ def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
             for name, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield from documents_of(fs, f"{base}/{name}", before)
 
-    return files.repartition(F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(parts, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def documents_of(fs: pafs.FileSystem, path: str, before: int = 0):
