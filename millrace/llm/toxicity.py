@@ -1,21 +1,22 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over the words of a bounded sample of examples.
 
-Terms are strings of 4, 6 and 8 bytes of the lower-cased text. Their document frequencies among a bounded sample of
-labelled examples are counted in Spark; the TERMS that mark toxic examples best (chi-squared; significant, and LIFT times
-as frequent there) make the vocabulary. Examples are indexed as postings by (block of examples, term), with the largest weight of each term in
-each block. A text's nearest NEIGHBOURS are found by visiting blocks in order of their upper bounds and stopping when
-no block can hold a nearer one: the result is that of comparing all examples. Votes are weighted by
-inverse distance; a logistic curve fitted on the examples themselves (each without itself) turns share of votes and nearest cosine into a
-score. The neighbours and their cosines are the evidence.
+Terms are all words of the lower-cased texts (runs of letters and digits; each character of a script without spaces is a
+word), none is left out. Words are indexed as postings of examples; a text's cosines with all examples are summed over
+the postings of its words, so the nearest NEIGHBOURS are those of comparing all examples. Words that no example has count
+in a text's length. Votes are weighted by inverse distance; a logistic curve fitted on the examples themselves (each
+without itself) turns share of votes, nearest cosine and the log odds of all words into a score. The neighbours and
+their cosines are the evidence.
 
 Labels are learnt from rows outside the held-out fold alone, at most EXAMPLES of each kind. Defined results: null and
-empty texts, and texts without a term of the vocabulary, have no neighbour and get the score of such examples; labels
+empty texts, and texts without a word of an example, have no neighbour and get the score of such examples; labels
 without a document, null labels and null doc_ids aren't learnt from; without labels of both kinds every score is 0;
 ties between equally near examples go to the smaller example number; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,17 +29,35 @@ from millrace.llm.suffix_dedup import _pass, words_at
 
 #: Bound of the sample: so many toxic and so many other examples at most.
 EXAMPLES = 2000
-TERMS = 2048
 LENGTHS = (4, 6, 8)
-BLOCK = 64
-#: Blocks that are scored at once.
-TOGETHER = 8
 NEIGHBOURS = 10
 SCAN = 1 << 16
-#: Chi-squared (one degree of freedom) that chance exceeds once in ten thousand terms.
-SIGNIFICANT = 15.137
-#: How much more frequent a term is among toxic examples at least.
-LIFT = 2
+BETWEEN = re.compile(r"[\W_]+")
+#: Characters of scripts that are written without spaces.
+ALONE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+#: An odd number and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(term, number of its text) of every word in texts. A term is a 64-bit hash of its bytes."""
+    raw = []
+    for t in texts:
+        t = t.lower()
+        if not t.isascii():
+            t = ALONE.sub(r" \1 ", t)
+        raw.append(BETWEEN.sub(" ", t).encode())
+    joined = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+    space = joined == 32
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    power = np.cumprod(np.full(len(joined), BASE, np.uint64))
+    back = np.cumprod(np.full(len(joined), INVERSE, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(joined.astype(np.uint64) * power)])
+    code = fmix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(BASE))
+    last = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
+    return code, np.searchsorted(last, start, "right")
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,87 +79,94 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(owners)
 
 
+def counted(texts: list[str], of=words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct terms, counts) of each text."""
+    out = []
+    for a, b in _pass([t.encode() for t in texts], SCAN):
+        code, owner = of(texts[a:b])
+        order = np.lexsort((code, owner))
+        code, owner = code[order], owner[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(new)
+        cut = np.searchsorted(owner[at], np.arange(1, b - a))
+        out += list(zip(np.split(code[at], cut), np.split(np.diff(np.append(at, len(code))), cut), strict=True))
+    return out
+
+
 class Vocabulary:
-    """Finds the terms among grams: a bit for the low bits of a hash first, then the sorted terms."""
+    """Finds the terms among those of texts, which `of` makes."""
 
-    def __init__(self, terms: np.ndarray):
-        self.terms = np.sort(terms)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self._low(self.terms)] = True
+    def __init__(self, terms: np.ndarray, of=grams):
+        self.terms, self.of = np.sort(terms), of
 
-    @staticmethod
-    def _low(x: np.ndarray) -> np.ndarray:
-        return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    def look_up(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, whether it is a term) of each."""
+        if not len(self.terms):
+            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+        at = np.minimum(np.searchsorted(self.terms, code), len(self.terms) - 1)
+        return at, self.terms[at] == code
 
-    def count(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(term numbers, counts) of each text."""
+    def split(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(term numbers, counts, counts of what isn't a term) of each text."""
         out = []
-        for a, b in _pass([t.encode() for t in texts], SCAN):
-            code, owner = grams(texts[a:b])
-            hit = self.seen[self._low(code)]
-            code, owner = code[hit], owner[hit]
-            at = np.searchsorted(self.terms, code)
-            ok = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == code) if len(self.terms) else np.zeros(len(code), bool)
-            both, n = np.unique(owner[ok] * (len(self.terms) + 1) + at[ok], return_counts=True)
-            cut = np.searchsorted(both, np.arange(1, b - a) * (len(self.terms) + 1))
-            out += [(x % (len(self.terms) + 1), y) for x, y in zip(np.split(both, cut), np.split(n, cut), strict=True)]
+        for code, n in counted(texts, self.of):
+            at, ok = self.look_up(code)
+            out.append((at[ok], n[ok], n[~ok]))
         return out
 
+    def count(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(term numbers, counts) of each text."""
+        return [(t, c) for t, c, _ in self.split(texts)]
+
+
+NONE = np.empty(0, np.int64)
+
 
 class Index:
-    """Unit TF-IDF vectors of examples as block-wise postings."""
+    """Unit TF-IDF vectors of examples as postings of terms."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int, ids: np.ndarray | None = None):
-        df = np.bincount(np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)]), minlength=n_terms)
-        self.idf = np.log((1 + len(vectors)) / (1 + df)) + 1
+        term = np.concatenate([NONE, *(t for t, _ in vectors)]).astype(np.int64)
+        df = np.bincount(term, minlength=n_terms)
         self.n_terms, self.n = n_terms, len(vectors)
+        self.idf, self.unseen = np.log((1 + self.n) / (1 + df)) + 1, np.log(1 + self.n) + 1
         self.labels, self.ids = np.asarray(labels, np.float64), np.arange(self.n) if ids is None else ids
-        blocks = -(-self.n // BLOCK)
-        units = [self.weigh(t, c) for t, c in vectors]
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
-        weight = np.concatenate([np.empty(0), *units])
-        order = np.lexsort((example, term, example // BLOCK))
-        example, term, weight = example[order], term[order], weight[order]
-        slot = example // BLOCK * n_terms + term
-        self.begin = np.searchsorted(slot, np.arange(blocks * n_terms + 1))
-        self.local, self.weight = example % BLOCK, weight
-        self.most = np.zeros((n_terms, blocks))
-        np.maximum.at(self.most, (term, example // BLOCK), weight)
-
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum()) if len(w) else w
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        weight = np.concatenate([np.empty(0), *(self.weigh(t, c) for t, c in vectors)])
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = example[order], weight[order]
+        self.begin = np.concatenate([NONE, [0], np.cumsum(df)])
+        #: In how many toxic and how many other examples each term is.
+        self.toxic = np.bincount(term, self.labels[example], n_terms)
+        self.clean = df - self.toxic
+
+    def raw(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray = NONE) -> tuple[np.ndarray, float]:
+        """(weights, length of the whole text's vector)."""
+        w, o = (1 + np.log(counts)) * self.idf[terms], (1 + np.log(others)) * self.unseen
+        return w, float(np.sqrt((w * w).sum() + (o * o).sum()))
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray = NONE) -> np.ndarray:
+        w, length = self.raw(terms, counts, others)
+        return w / length if len(w) else w
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, without: int = -1, others: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, cosines) of the k nearest examples of cosine above 0, nearest first."""
         if not len(terms) or not self.n:
-            return np.empty(0, np.int64), np.empty(0)
-        q = self.weigh(terms, counts)
-        bound = q @ self.most[terms]
-        got, cos, least = np.empty(0, np.int64), np.empty(0), 0.0
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, some = 0, TOGETHER
-        while at < len(order) and not (len(got) == k and bound[order[at]] < least - 1e-12):
-            blocks = order[at : at + some]
-            at += some
-            slots = (blocks[:, None] * self.n_terms + terms[None]).ravel()
-            start, n = self.begin[slots], self.begin[slots + 1] - self.begin[slots]
-            ends = np.cumsum(n)
-            place = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
-            slot = np.repeat(np.arange(len(blocks)) * BLOCK, n.reshape(len(blocks), -1).sum(axis=1))
-            s = np.bincount(slot + self.local[place], self.weight[place] * np.repeat(np.tile(q, len(blocks)), n), len(blocks) * BLOCK)
-            mine = np.flatnonzero(s > least - 1e-12) if len(got) == k else np.flatnonzero(s > 0)
-            number = blocks[mine // BLOCK] * BLOCK + mine % BLOCK
-            mine, number = mine[number != without], number[number != without]
-            got, cos = np.concatenate([got, number]), np.concatenate([cos, s[mine]])
-            best = np.lexsort((got, -cos))[:k]
-            got, cos = got[best], cos[best]
-            least = cos[-1] if len(cos) == k else 0.0
-        return got, cos
-
-    def votes(self, terms: np.ndarray, counts: np.ndarray, got: np.ndarray, cos: np.ndarray) -> tuple[float, ...]:
+            return NONE, np.empty(0)
+        q = self.weigh(terms, counts, others)
+        start, n = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
+        s = np.bincount(self.example[place], self.weight[place] * np.repeat(q, n), self.n)
+        if without >= 0:
+            s[without] = 0
+        got = np.flatnonzero(s >= np.partition(s, self.n - k)[self.n - k]) if self.n > k else np.arange(self.n)
+        got = got[s[got] > 0]
+        got = got[np.lexsort((got, -s[got]))[:k]]
+        return got, s[got]
+
+    def votes(self, terms: np.ndarray, counts: np.ndarray, got: np.ndarray, cos: np.ndarray, others: np.ndarray = NONE) -> tuple[float, ...]:
         """What the score is made of: share of the votes for toxic less a half, nearest cosine, whether there is a
         neighbour at all, length of the text's vector before it is made a unit (how many terms it has), and the
         share's product with that length. A vote weighs as much as the inverse of the neighbour's distance."""
@@ -148,10 +174,22 @@ class Index:
             return 0.0, 0.0, 0.0, 0.0, 0.0
         near = 1 / (1.05 - cos)
         share = float((near @ self.labels[got]) / near.sum()) - 0.5
-        w = (1 + np.log(counts)) * self.idf[terms]
-        length = float(np.log1p(np.sqrt((w * w).sum())))
+        length = float(np.log1p(self.raw(terms, counts, others)[1]))
         return share, float(cos[0]), 1.0, length, share * length
 
+    def odds(self, terms: np.ndarray, without: int = -1) -> tuple[float, float, float]:
+        """Log odds for toxic of all of a text's terms: their sum over the root of their number, and two soft maxima.
+        Neighbours are near by all words, so a few insults in a long text hardly move them; they do move these."""
+        if not len(terms):
+            return 0.0, 0.0, 0.0
+        a, b, pos = self.toxic[terms], self.clean[terms], self.labels.sum()
+        neg = self.n - pos
+        if without >= 0:
+            y = self.labels[without]
+            a, b, pos, neg = a - y, b - (1 - y), pos - y, neg - (1 - y)
+        x = np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
+        return float(x.sum() / np.sqrt(len(x))), float(np.log(np.exp(x).sum())), float(np.log(np.exp(2 * x).sum()) / 2)
+
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Coefficients of a weighted ridge logistic regression, by Newton steps; the last is the intercept."""
@@ -181,14 +219,15 @@ class Model:
     def fit(self, vectors) -> Model:
         y = self.index.labels
         if len(y) and 0 < y.sum() < len(y):
-            x = np.array([self.index.votes(t, c, *self.index.nearest(t, c, without=k)) for k, (t, c) in enumerate(vectors)])
-            self.curve = logistic(x, y, self.weight)
+            x = np.array([self.index.votes(t, c, *self.index.nearest(t, c, without=k)) + self.index.odds(t, k) for k, (t, c) in enumerate(vectors)])
+            self.mean, self.width = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1)
+            self.curve = logistic((x - self.mean) / self.width, y, self.weight)
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if self.curve is None:
+        if self.curve is None or not len(x):
             return np.zeros(len(x))
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.curve, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(np.column_stack([(x - self.mean) / self.width, np.ones(len(x))]) @ self.curve, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, examples: int = EXAMPLES) -> Model:
@@ -200,37 +239,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), "doc_id long, y int")  # 2 * examples rows at most
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "t", "y")
 
-    def frequencies(batches):
-        for pdf in batches:
-            texts, y = pdf["t"].tolist(), pdf["y"].to_numpy()
-            for a, b in _pass([t.encode() for t in texts], SCAN):
-                code, owner = grams(texts[a:b])
-                order = np.lexsort((owner, code))
-                code, owner = code[order], owner[order]
-                new = np.ones(len(code), bool)
-                new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
-                code, toxic = code[new], y[a:b][owner[new]]
-                terms, at = np.unique(code, return_inverse=True)
-                yield pd.DataFrame({"term": terms.view(np.int64), "toxic": np.bincount(at, toxic, len(terms)).astype(np.int64), "total": np.bincount(at, minlength=len(terms))})
-
-    size = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = max(1, size.get(1, 0)), max(1, size.get(0, 0))
-    a, b = F.col("toxic"), F.col("total") - F.col("toxic")
-    # chi-squared of toxic against other examples with and without the term
-    cross = a * (neg - b) - b * (pos - a)
-    chi = cross.cast("double") * cross * (pos + neg) / (F.lit(float(pos)) * neg * (a + b) * (pos + neg - a - b + 1))
-    found = sample.mapInPandas(frequencies, "term long, toxic long, total long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total")).where("total > 1")
-    terms = found.where((a * neg >= LIFT * b * pos) & (chi >= SIGNIFICANT)).orderBy(chi.desc(), "term").limit(TERMS).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64)
-    vocabulary = Vocabulary(terms)
-
-    def vectors_of(batches):
+    def words_of(batches):
         for pdf in batches:
-            got = vocabulary.count(pdf["t"].tolist())
-            yield pdf[["doc_id", "y"]].assign(terms=[t for t, _ in got], counts=[c for _, c in got])
+            got = counted(pdf["t"].tolist())
+            yield pdf[["doc_id", "y"]].assign(terms=[t.tobytes() for t, _ in got], counts=[c.tobytes() for _, c in got])
 
-    rows = sample.mapInPandas(vectors_of, "doc_id long, y int, terms array<long>, counts array<long>").orderBy("doc_id").toPandas()
-    vectors = [(np.asarray(t, np.int64), np.asarray(c, np.int64)) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
+    rows = sample.mapInPandas(words_of, "doc_id long, y int, terms binary, counts binary").orderBy("doc_id", "terms", "counts").toPandas()
+    codes, counts = ([np.frombuffer(x, kind) for x in rows[c]] for c, kind in (("terms", np.uint64), ("counts", np.int64)))
+    vocabulary = Vocabulary(np.unique(np.concatenate([np.empty(0, np.uint64), *codes])), words)
+    vectors = [(vocabulary.look_up(t)[0], c) for t, c in zip(codes, counts, strict=True)]
     index = Index(vectors, rows["y"].to_numpy(), len(vocabulary.terms), rows["doc_id"].to_numpy())
+    pos, neg = max(1, (rows["y"] == 1).sum()), max(1, (rows["y"] == 0).sum())
     return Model(vocabulary, index, (n.get(0, 0) / neg, n.get(1, 0) / pos)).fit(vectors)
 
 
@@ -243,9 +262,9 @@ def score(df: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
         m = model.value
         for pdf in batches:
             x, evidence = [], []
-            for t, c in m.vocabulary.count(pdf["t"].tolist()):
-                got, cos = m.index.nearest(t, c)
-                x.append(m.index.votes(t, c, got, cos))
+            for t, c, others in m.vocabulary.split(pdf["t"].tolist()):
+                got, cos = m.index.nearest(t, c, others=others)
+                x.append(m.index.votes(t, c, got, cos, others) + m.index.odds(t))
                 evidence.append([{"doc_id": int(m.index.ids[k]), "cosine": float(v), "label": int(m.index.labels[k])} for k, v in zip(got, cos, strict=True)])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": m.score(np.array(x).reshape(len(x), -1)), "evidence": evidence})
 

@@ -106,3 +106,41 @@ def test_prior_of_a_known_mixture():
     pos, neg = r.normal(2, 1, 4000), r.normal(-2, 1, 4000)
     unl = np.concatenate([pos[:1200], neg[:2800]])
     assert abs(qc.estimate_prior(r.normal(2, 1, 4000), unl) - 0.3) < 0.06
+
+
+def test_every_word_of_the_examples_is_a_term(spark):
+    # each insult is in few of the examples, so no test of significance would find it
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randrange(2, 4)))
+    docs, labels = [], []
+    for i in range(1200):
+        ws = [word() for _ in range(r.randrange(40, 60))]
+        if i % 4 == 0:
+            ws[3:3] = ["klmnopqrstuvwxyz"[i // 4 % 16] * 9 + "klmnopq"[i // 64 % 7] * 9] * 3
+        docs.append((i, " ".join(ws)))
+        labels.append((i, int(i % 4 == 0)))
+    got = toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [x for x in got if x.held_out]
+    assert np.mean([x.predicted == (x.doc_id % 4 == 0) for x in held]) > 0.95
+    assert all(x.evidence for x in held)
+    # a clean text's neighbours are those by all its words, not only by toxic ones
+    clean = next(x for x in held if x.doc_id % 4)
+    bags = {i: toxicity.counted([t])[0] for i, t in docs}
+    chosen = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    df = {}
+    for i in chosen:
+        for w in bags[i][0].tolist():
+            df[w] = df.get(w, 0) + 1
+    vector = lambda i: {w: (1 + np.log(c)) * (np.log((1 + len(chosen)) / (1 + df.get(w, 0))) + 1) for w, c in zip(*(x.tolist() for x in bags[i]))}
+    q = vector(clean.doc_id)
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    cos = sorted((sum(x * q.get(w, 0) for w, x in v.items()) / norm(v) / norm(q) for v in map(vector, chosen)), reverse=True)
+    assert np.allclose([e.cosine for e in clean.evidence], cos[:10])
+
+
+def test_words_are_those_of_a_plain_split():
+    texts = ["", "  ", "One two, ONE_two! \u00c9t\u00e9\u3002", "a" * 300 + " b", "\u4e2d\u6587 x\u4e2d"]
+    got = toxicity.counted(texts)
+    assert [c.sum() for _, c in got] == [0, 0, 5, 2, 4]
+    assert [len(t) for t, _ in got] == [0, 0, 3, 2, 3]
+    assert set(toxicity.counted(["two one"])[0][0]) < set(got[2][0])
