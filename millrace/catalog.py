@@ -547,13 +547,13 @@ def edit_distance(t):
 
 @query()
 def edit_sim_indel(t):
-    return _ranked(t).where("rank = 1").select("item_id", M.edit_similarity(T.joined(F.col("g")), T.joined(F.col("p"))).alias("sim"))
+    return _ranked(t).select("item_id", "doc_id", M.edit_similarity(T.joined(F.col("g")), T.joined(F.col("p"))).alias("sim"))
 
 
 @query()
 def rouge_l(t):
-    r = _ranked(t).where("rank = 1").select("item_id", M.rouge_l(T.joined(F.col("g")), T.joined(F.col("p"))).alias("r"))
-    return r.select("item_id", "r.*")
+    r = _ranked(t).select("item_id", "doc_id", M.rouge_l(T.joined(F.col("g")), T.joined(F.col("p"))).alias("r"))
+    return r.select("item_id", "doc_id", "r.*")
 
 
 @query("SELECT source, round(CASE WHEN n - c < 3 OR n < 3 THEN 1 - pow(1 - c / n, 3) WHEN c = 0 THEN 0 ELSE 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - 3.0::DOUBLE / i)) END, 9)::DOUBLE AS pass FROM (SELECT source, count(*) AS n, sum(quality)::BIGINT AS c FROM documents JOIN labels USING (doc_id) GROUP BY 1)")

@@ -208,6 +208,9 @@ def edit_ratio(a: str, b: str) -> float:
 
 def _lcs_members(a: list[str], b: list[str]) -> set[int]:
     """Places in a of one longest common subsequence."""
+    # what isn't in a matches nothing, and the way back steps over it
+    known = set(a)
+    b = [x for x in b if x in known]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n):

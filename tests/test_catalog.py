@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -41,3 +42,35 @@ def test_query_without_sql_runs(spark, sf, name):
 
 def test_flagship(spark, sf):
     assert catalog.flagship(spark, sf).count() > 0
+
+
+def _common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+    return row[-1]
+
+
+def test_similarities_of_all_pairs_are_those_of_a_plain_loop(spark, tmp_path):
+    items = {0: "one two three four", 1: "alpha beta gamma", 2: ""}
+    texts = ["two four", "beta, alpha!", "x", "three one two", "gamma", None, "one two three four", "", "", "five", "alpha beta gamma delta"]
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sims, rouges = {}, {}
+    for i, x in enumerate(texts):
+        g, p = (re.findall("[a-z]+", y or "") for y in (items[i % 3], x))
+        a, b = " ".join(g), " ".join(p)
+        sims[i % 3, i] = round(200 * _common(a, b) / (len(a) + len(b))) if a and b else 0
+        n = _common(g, p)
+        q, r = (100 * n / len(p), 100 * n / len(g)) if g and p else (0, 0)
+        rouges[i % 3, i] = q, r, 2.44 * q * r / (r + 1.44 * q) if n else 0
+    got = catalog.queries()["edit_sim_indel"](spark, str(tmp_path)).collect()
+    assert {(x.item_id, x.doc_id): x.sim for x in got} == sims and len(got) == len(texts)
+    got = catalog.queries()["rouge_l"](spark, str(tmp_path)).collect()
+    assert {(x.item_id, x.doc_id) for x in got} == set(rouges) and len(got) == len(texts)
+    for x in got:
+        assert (x.p, x.r, x.f) == pytest.approx(rouges[x.item_id, x.doc_id], abs=1e-6)
