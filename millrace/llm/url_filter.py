@@ -5,8 +5,9 @@ decides. Other pages are judged by their host: hosts of pages that a rule allows
 ones distrusted seeds, each by its number of such pages. Personalised PageRank carries trust along the links and
 distrust against them; a host whose distrust exceeds THRESHOLD times its trust is blocked.
 
-Ranks are whole numbers (MASS in all), every share is rounded down, so that neither the order of summation nor lost
-tasks change a result. Shares are summed with map-side combining; a host with any share of the links is a skewed join.
+Ranks are whole numbers (FINE in all), every share is rounded down, so that neither the order of summation nor lost
+tasks change a result. They are passed on until none changes. The SQL takes ROUNDS rounds over MASS, which comes to the
+same where hosts don't link to other hosts, as in the driver's pages. Shares are summed with map-side combining; a host with any share of the links is a skewed join.
 
 Defined results: a url that is null or has no :// has an empty host and path, fits no rule and is allowed; html that
 is null has no links; repeated rows count each; an empty table gives an empty table; other columns aren't read.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved
+from millrace.llm.common import drop_table, saved
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,8 @@ class Rule:
 
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 MASS = 1_000_000_000_000
+#: What settled ranks share out: about the most that whole numbers of 64 bits can hold.
+FINE = 10**18
 #: Percent of the rank that is passed on along links.
 DAMPING = 85
 ROUNDS = 8
@@ -72,11 +75,11 @@ def verdict_of(rules, rule: Column) -> Column:
     return chain
 
 
-def seeds(judged: DataFrame) -> DataFrame:
+def seeds(judged: DataFrame, mass: int = MASS) -> DataFrame:
     """(host, kind, seed) from (host, given): trust is spread over allowed hosts, distrust over blocked ones."""
     n = judged.where("given is not null and host != ''").groupBy("host", F.when(F.col("given") == "allow", F.lit("trust")).otherwise(F.lit("distrust")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     total = n.groupBy("kind").agg(F.sum("n").alias("total"))
-    return n.join(total, "kind").select("host", "kind", F.expr(f"cast(cast({MASS} as decimal(20,0)) * n div total as bigint)").alias("seed"))
+    return n.join(total, "kind").select("host", "kind", F.expr(f"cast(cast({mass} as decimal(20,0)) * n div total as bigint)").alias("seed"))
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -87,14 +90,22 @@ def edges(pages: DataFrame) -> DataFrame:
     return both.join(both.groupBy("src", "kind").agg(F.sum("w").alias("of")), ["src", "kind"])
 
 
+def _kept(seed: DataFrame) -> DataFrame:
+    return seed.select("host", "kind", F.expr(f"cast(cast(seed as decimal(20,0)) * {100 - DAMPING} div 100 as bigint)").alias("x"))
+
+
+def _passed_on(seed: DataFrame, edge: DataFrame, rank: DataFrame) -> DataFrame:
+    """(host, kind, rank) after a round."""
+    passed = edge.join(rank.select(F.col("host").alias("src"), "kind", "rank"), ["src", "kind"]).select(F.col("dst").alias("host"), "kind", F.expr(f"cast(cast(rank as decimal(20,0)) * {DAMPING} * w div (cast(of as decimal(20,0)) * 100) as bigint)").alias("x"))
+    return passed.union(_kept(seed)).groupBy("host", "kind").agg(F.sum("x").alias("rank"))
+
+
 def spread(seed: DataFrame, edge: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(host, kind, rank) after so many rounds, or as many as change anything."""
     seed, edge = saved(seed, "seeds"), saved(edge, "host-edges")
     rank, state = seed.select("host", "kind", F.col("seed").alias("rank")), None
     for _ in range(rounds):
-        passed = edge.join(rank.select(F.col("host").alias("src"), "kind", "rank"), ["src", "kind"]).select(F.col("dst").alias("host"), "kind", F.expr(f"cast(cast(rank as decimal(20,0)) * {DAMPING} * w div (cast(of as decimal(20,0)) * 100) as bigint)").alias("x"))
-        own = seed.select("host", "kind", F.expr(f"cast(cast(seed as decimal(20,0)) * {100 - DAMPING} div 100 as bigint)").alias("x"))
-        rank = saved(passed.union(own).groupBy("host", "kind").agg(F.sum("x").alias("rank")), "ranks")
+        rank = saved(_passed_on(seed, edge, rank), "ranks")
         now = tuple(rank.agg(F.count(F.lit(1)), F.sum(F.xxhash64("host", "kind", "rank").cast("decimal(20,0)"))).head())
         if now == state:
             break
@@ -102,12 +113,26 @@ def spread(seed: DataFrame, edge: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return rank
 
 
+def settled(seed: DataFrame, edge: DataFrame) -> DataFrame:
+    """(host, kind, rank) once no rank changes any more. Ranks start at what seeds keep and never shrink, and all
+    together stay below the seeds' sum: so the loop ends, and an equal sum means equal ranks."""
+    seed, edge = saved(seed, "seeds"), saved(edge, "host-edges")
+    rank, sum_ = saved(_kept(seed).withColumnRenamed("x", "rank").where("rank > 0"), "ranks"), None
+    while True:
+        now = rank.agg(F.sum(F.col("rank").cast("decimal(38,0)"))).head()[0]
+        if now == sum_:
+            return rank
+        last, sum_ = rank, now
+        rank = saved(_passed_on(seed, edge, last).where("rank > 0"), "ranks")
+        drop_table(last)
+
+
 def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict) of each page."""
     host, path = host_and_path(F.col(url).cast("string"))
     read = pages.select("page_id", host.alias("host"), path.alias("path"), F.col(html).cast("string").alias("html"))
     ruled = read.withColumn("rule", fitting(rules, F.col("host"), F.col("path"))).withColumn("given", verdict_of(rules, F.col("rule")))
-    rank = spread(seeds(ruled.select("host", "given")), edges(ruled.select("host", "html")))
+    rank = settled(seeds(ruled.select("host", "given"), FINE), edges(ruled.select("host", "html")))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0))
     bad = rank.groupBy("host").agg((of("distrust") > THRESHOLD * of("trust")).alias("bad")).where("bad")
     page = ruled.select("page_id", "host", "path", "rule", "given")

@@ -119,3 +119,30 @@ def test_ranks_are_those_of_a_plain_loop(spark):
                     new[b, kind] = new.get((b, kind), 0) + rank[a, kind] * 85 * w // (of[a] * 100)
         rank = new
     assert got == rank
+
+
+def test_distrust_goes_as_far_as_links(spark):
+    n = 14
+    rows = [(0, "http://b.com/de/x", "")] + [(k, f"http://h{k}.net/", f'<a href="http://{"b.com" if k == 1 else f"h{k - 1}.net"}/">') for k in range(1, n)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "block" for k in range(n)}
+
+
+def test_settled_ranks_are_those_of_a_plain_loop(spark):
+    edge = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("c", "d", 3), ("a", "d", 1), ("d", "e", 5)]
+    seed = {"a": 900, "c": 100}
+    of = {}
+    for a, _, w in edge:
+        of[a] = of.get(a, 0) + w
+    want, rank = None, {k: v * 15 // 100 for k, v in seed.items()}
+    while rank != want:
+        want = rank
+        rank = {k: v * 15 // 100 for k, v in seed.items()}
+        for a, b, w in edge:
+            rank[b] = rank.get(b, 0) + want.get(a, 0) * 85 * w // (of[a] * 100)
+    made = spark.createDataFrame([(a, b, "trust", w, of[a]) for a, b, w in edge], "src string, dst string, kind string, w long, of long")
+    got = url_filter.settled(spark.createDataFrame([(k, "trust", v) for k, v in seed.items()], "host string, kind string, seed long"), made)
+    assert {r.host: r.rank for r in got.collect()} == {k: v for k, v in want.items() if v}
+    # seeds of few pages among many keep a rank to pass on
+    many = spark.createDataFrame([("a", "allow")], "host string, given string").union(spark.range(999).selectExpr("'b'", "'allow'"))
+    assert {r.host: r.seed for r in url_filter.seeds(many, url_filter.FINE).collect()} == {"a": 10**15, "b": 999 * 10**15}
