@@ -123,9 +123,10 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 
 def fit_logistic_prior(pos: np.ndarray, unl: np.ndarray, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores of positives and unlabelled texts by a model that tells them apart."""
-    one_hot = lambda c: np.eye(n_cells)[c].sum(axis=1)
-    x = np.vstack([one_hot(pos[:3000]), one_hot(unl[:3000])])
-    y = np.concatenate([np.ones(len(pos[:3000])), np.zeros(len(unl[:3000]))])
+    both = np.vstack([pos, unl])
+    x = np.zeros((len(both), n_cells))
+    np.add.at(x, (np.arange(len(both))[:, None], both), 1)
+    y = np.concatenate([np.ones(len(pos)), np.zeros(len(unl))])
     w = logistic(x, y, np.ones(len(y)))
     return w[pos].sum(axis=1), w[unl].sum(axis=1)
 

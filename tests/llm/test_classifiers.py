@@ -144,3 +144,11 @@ def test_words_are_those_of_a_plain_split():
     assert [c.sum() for _, c in got] == [0, 0, 5, 2, 4]
     assert [len(t) for t, _ in got] == [0, 0, 3, 2, 3]
     assert set(toxicity.counted(["two one"])[0][0]) < set(got[2][0])
+
+
+def test_prior_is_fitted_on_the_whole_sample():
+    # the later half of the positives lies in cell 1
+    pos = np.repeat([0, 1], 3000)[:, None]
+    unl = np.tile([0, 1, 2, 2, 2, 2], 1000)[:, None]
+    p, _ = qc.fit_logistic_prior(pos, unl, 3)
+    assert abs(p[0] - p[-1]) < 0.1
