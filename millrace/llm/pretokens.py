@@ -11,29 +11,23 @@ import base64
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Distinct stretches whose ids a worker remembers; the memory is emptied beyond it.
-REMEMBERED = 800_000
-#: Characters of text that are cut at once.
-CHUNK_CHARS = 2_000_000
-#: Texts without these characters have no white space but that of OTHER_WHITE, space and line feed.
-BEYOND_PLAIN = regex.compile("[\u0250-\U0010ffff]")
-OTHER_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+REMEMBERED = 1_200_000
+#: Bytes of text that are cut at once.
+CHUNK_BYTES = 12_000_000
+#: What keeps a text from being cut at single spaces and line feeds: white space that stands together or is neither, and
+#: characters from U+0250 on, which engines of another Unicode version might class otherwise.
+NOT_PLAIN = r"[^\x{0}-\x{24f}]"
+NOT_SINGLE = r"  |\n\n| \n|\n |[\x{0}\t\r\x{b}\x{c}\x{1c}-\x{1f}\x{85}\x{a0}]|" + NOT_PLAIN
 
 
-def is_plain(text: str) -> bool:
-    if text.isascii():
-        return True
-    try:  # the quick way for most others
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return BEYOND_PLAIN.search(text) is None
-    return True
-
-
-def is_single_spaced(text: str) -> bool:
-    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or any(c in text for c in OTHER_WHITE)) and is_plain(text)
+def is_plain(texts: pa.Array) -> np.ndarray:
+    """Whether each text has no character from U+0250 on."""
+    return ~pc.match_substring_regex(texts, NOT_PLAIN).to_numpy(zero_copy_only=False)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -80,16 +74,35 @@ class PieceEncoder:
         self.n += n
         self.rows.new = []
 
-    def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row of every stretch, number of stretches of each text). Arrow cuts the single-spaced texts and finds their
+        distinct stretches."""
+        hard = pc.match_substring_regex(texts, NOT_SINGLE).to_numpy(zero_copy_only=False)
+        marked = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(~hard)), " ", "\0 "), "\n", "\0\n\0")
+        parts = pc.split_pattern(marked, "\0")
+        coded = parts.flatten().dictionary_encode()
+        known = self._rows_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        if not hard.any():
+            return known[coded.indices.to_numpy()], pc.list_value_length(parts).to_numpy().astype(np.int64)
+        found = [self.find(t) for t in texts.filter(pa.array(hard)).to_pylist()]
+        counts = np.zeros(len(texts), np.int64)
+        counts[~hard] = pc.list_value_length(parts).to_numpy()
+        counts[hard] = np.fromiter(map(len, found), np.int64, len(found))
+        rows = np.empty(int(counts.sum()), np.int64)
+        of_hard = np.repeat(hard, counts)
+        rows[~of_hard] = known[coded.indices.to_numpy()]
+        rows[of_hard] = self._rows_of([x for f in found for x in f])
+        return rows, counts
+
+    def _rows_of(self, stretches: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.rows.__getitem__, stretches), np.int64, len(stretches))
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, number of ids of each text)."""
-        flat, counts = [], []
-        for t in texts:
-            found = t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if is_single_spaced(t) else self.find(t)
-            counts.append(len(found))
-            flat += found
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if len(self.rows) > REMEMBERED:
             self.clear()
-        rows = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
+        rows, counts = self.cut(texts)
         if self.rows.new:
             self.learn()
         begin, length = self.start[rows], self.start[rows + 1] - self.start[rows]
@@ -97,14 +110,16 @@ class PieceEncoder:
         ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], length)]
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
-    def each(self, texts: list[str]) -> Iterable[np.ndarray]:
+    def each(self, texts: list[str] | pa.Array) -> Iterable[np.ndarray]:
         """The ids of each text, cut in chunks of bounded size."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         i = 0
         while i < len(texts):
-            j, chars = i, 0
-            while j < len(texts) and (j == i or chars + len(texts[j]) <= CHUNK_CHARS):
-                chars += len(texts[j])
+            j, held = i, 0
+            while j < len(texts) and (j == i or held + size[j] <= CHUNK_BYTES):
+                held += size[j]
                 j += 1
-            ids, n = self.encode(texts[i:j])
+            ids, n = self.encode(texts.slice(i, j - i))
             yield from np.split(ids, np.cumsum(n)[:-1])
             i = j

@@ -3,10 +3,12 @@
 A file holds a stretch of the corpus in ascending doc_id order, cut into sequences of equal length: a batch has
 `ids` (fixed-size lists of token ids) and `mask` (fixed-size lists of bits: false for padding). Only a file's last sequence has padding. All batches of a file but the last have equally many
 sequences, hence equally many bytes, so sequence i is found by arithmetic and read from a memory map without
-copying. Beside each file lies its index of documents (doc_id, first, n_tokens), also an Arrow stream.
+copying (ids as numpy, masks as the bits that Arrow keeps booleans in). Ids have 16 bits, or 32 where the vocabulary
+is larger. Beside each file lies its index of documents (doc_id, first, n_tokens), also an Arrow stream.
 
 A task writes its file under a name of its own and renames it when it is whole, so a task that is run again
-leaves no half of a file. Documents are ordered by (doc_id, text), null doc_id first; null text is empty and has
+leaves no half of a file. Documents are ordered by (doc_id, hash of the text, text), null doc_id first, so rows that
+share an id are dealt over files too; null text is empty and has
 the end id alone; an empty table gives no files and an empty result; repeated rows are separate documents.
 """
 
@@ -16,7 +18,6 @@ import os
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,17 @@ BATCH = 64
 END_ID = 0
 
 
-#: Stretches that the library gets as one text.
-JOINED = 2000
-
-
-def _joins(t: str) -> bool:
-    """Whether t is one space or none, then a text without white space at its ends or line feeds in it."""
-    core = t[1:] if t.startswith(" ") else t
-    return bool(core) and core == core.strip() and "\n" not in core and core.isprintable()
+#: Byte-level vocabularies write each byte as a character: visible ones of Latin-1 as themselves, all others as those
+#: from U+0100 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in _SEEN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct stretch of whole pieces in a batch of texts.
+    """The tokenizers library. Texts are cut in pieces by the tokenizer's pattern, and the library's BPE model is asked
+    once for each distinct piece that a worker remembers.
 
-    A text with characters that engines of another Unicode version might class otherwise goes to it in one piece."""
+    A text with characters that engines of another Unicode version might class otherwise goes to the library whole."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,36 +55,30 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.pieces = PieceEncoder(portable(pattern), self.whole)
-
-        feed = self.library.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else None
-
-    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their numbers. Stretches that a line feed can part without changing their pieces go together."""
-        texts = [t if self.feed is not None and _joins(t) else [t] for t in texts]
-        flat: list[np.ndarray] = []
-        lengths: list[np.ndarray] = []
-        for joins, run in groupby(texts, lambda t: isinstance(t, str)):
-            run = list(run)
-            if not joins:
-                ids = [x.ids for x in self.library.encode_batch_fast([t[0] for t in run], add_special_tokens=False)]
-                flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-                lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-                continue
-            for a in range(0, len(run), JOINED):
-                part = run[a : a + JOINED]
-                ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-                flat.append(ids[ids != self.feed])
-                lengths.append(np.diff(ends, prepend=-1) - 1)
-        return np.concatenate([np.empty(0, np.uint32), *flat]), np.concatenate([np.empty(0, np.int64), *lengths])
-
-    def each(self, texts: list[str]):
-        plain = [is_plain(t) for t in texts]
-        known = iter(self.pieces.each([t for t, p in zip(texts, plain, strict=True) if p]))
-        for t, p in zip(texts, plain, strict=True):
-            yield next(known) if p else self.whole([t])[0]
+        self.vocabulary = self.library.get_vocab_size()
+        self.model = self.library.model
+        self.pieces = PieceEncoder(portable(pattern), self.stretches)
+
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches of whole pieces, and their numbers. Letters, with a space before or a stop behind them or
+        without, are cut as the pattern cuts them."""
+        find, tokenize = self.pieces.find, self.model.tokenize
+        flat: list[int] = []
+        ends = [0]
+        for t in texts:
+            core = t[1:] if t[:1] == " " else t
+            for x in (t,) if core.isalpha() else (t[:-1], t[-1]) if core[:-1].isalpha() and core[-1] in ".," else find(t):
+                chars = x.replace(" ", "\u0120") if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(BYTE_CHARS)
+                for k in tokenize(chars):
+                    flat.append(k.id)
+            ends.append(len(flat))
+        return np.array(flat, np.uint32), np.diff(ends)
+
+    def each(self, texts: pa.Array):
+        plain = is_plain(texts)
+        known = iter(self.pieces.each(texts.filter(pa.array(plain))))
+        for k, p in enumerate(plain.tolist()):
+            yield next(known) if p else np.array(self.library.encode_batch_fast([texts[k].as_py()], add_special_tokens=False)[0].ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -116,6 +108,8 @@ class Writer:
         self.first.append(self.total)
         self.count.append(len(ids))
         self.total += len(ids)
+        if len(ids) and ids.max() > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {ids.max()} doesn't fit in {np.dtype(self.dtype)}")
         self.ids.append(ids.astype(self.dtype))
         self.held += len(ids)
         if self.held >= 4 * self.length * self.batch:
@@ -162,6 +156,9 @@ class Sequences:
 
     def __init__(self, path: str):
         self.map = pa.memory_map(path)
+        #: The whole file, as it lies in memory.
+        self.whole = self.map.read_buffer()
+        self.map.seek(0)
         reader = ipc.open_stream(self.map)
         self.schema = reader.schema
         self.batch = int(self.schema.metadata[b"batch"])
@@ -185,27 +182,28 @@ class Sequences:
         return self.n
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, in place in the map; mask, unpacked from its bits)."""
+        """(ids as numpy, mask as Arrow's bits), both in place in the map."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         self.map.seek(self.begin + i // self.batch * self.step)
         b, k = self._next(), i % self.batch
-        return b.column(0)[k].values.to_numpy(zero_copy_only=True), b.column(1)[k].values.to_numpy(zero_copy_only=False)
+        return b.column(0)[k].values.to_numpy(zero_copy_only=True), b.column(1)[k].values
 
 
 def write_token_files(df: DataFrame, path: str, pattern: str, out: str, text: str = "text", length: int = SEQUENCE) -> DataFrame:
     """Writes df's texts below out; returns the manifest (part, file, n_docs, n_tokens), written in the shared folder."""
     rows = df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    dealt = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "t")
+    dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "t")
 
     def run(batches):
         part, writer, n = TaskContext.get().partitionId(), None, 0
         fs, base = filesystem(out)
         for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), library(path, pattern).each(b.column(1).to_pylist()), strict=True):
+            encoder = library(path, pattern)
+            for key, ids in zip(b.column(0).to_pylist(), encoder.each(b.column(1)), strict=True):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
-                    writer = Writer(fs, name := f"{base}/tokens-{part:06d}.arrows", length)
+                    writer = Writer(fs, name := f"{base}/tokens-{part:06d}.arrows", length, id_type=pa.uint16() if encoder.vocabulary <= 1 << 16 else pa.uint32())
                 writer.add(key, np.append(ids, np.uint32(END_ID)))
                 n += 1
         if writer is not None:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -95,11 +96,46 @@ def test_token_files(spark, tmp_path):
             assert all(len(x) == 64 for x in s[k])
         for k in range(len(s)):
             ids, mask = s[k]
-            read += ids[mask].tolist()
+            begin, end = s.whole.address, s.whole.address + s.whole.size
+            assert begin <= ids.ctypes.data < end and begin <= mask.buffers()[1].address < end  # in place, not copied
+            read += ids[np.array(mask)].tolist()
     assert read == stream
     assert not [p for p in (tmp_path / "files").iterdir() if ".part" in p.name]
 
 
+def test_stretches_of_the_library_equal_whole_texts():
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    r = random.Random(9)
+    marks = ["a", "b's", "'", "!", "1", " ", " ", "\n", "\t", "é", "ß", "ÿ", "\x7f", "\xad", "\x85", "''s", "?", "zq", "<|endoftext|>"]
+    texts = ["".join(r.choices(marks, k=r.randrange(1, 40))) for _ in range(3000)]
+    texts += ["".join(f"a{c}1{c}{c} b{c}\n" for c in map(chr, range(a, a + 16))) for a in range(0, 0x300, 16)]
+    texts += [" ".join("".join(r.choices("abcdeghißé", k=r.randrange(1, 9))) for _ in range(200)) for _ in range(30)]
+    encoder = token_files.library(P.path("byte_bpe_50k.json"), P.PATTERN)
+    for t, ids in zip(texts, encoder.each(pa.array(texts)), strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_ids_that_do_not_fit_are_refused(tmp_path):
+    fs, path = token_files.filesystem(f"{tmp_path}/x")
+    writer = token_files.Writer(fs, path, 4)
+    with pytest.raises(ValueError):
+        writer.add(1, np.array([1 << 16], np.uint32))
+
+
+def test_rows_that_share_an_id_are_dealt_over_files(spark, tmp_path):
+    df = spark.createDataFrame([(None if k % 2 else 7, f"text {k}") for k in range(400)], "doc_id long, text string").repartition(8)
+    out = f"file://{tmp_path}/files"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(df, P.path("byte_bpe_50k.json"), P.PATTERN, out, length=64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 2 and manifest.agg({"n_docs": "sum"}).head()[0] == 400
+    starts = sorted((r.start, r.n_tokens) for r in token_files.read_token_files(manifest, out).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_token_files_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.token_report(df, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
