@@ -172,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
         for pdf in batches:
             yield pdf[["doc_id", "kind", "y"]].assign(x=[list(map(float, features(t))) for t in pdf["t"]])
 
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "kind", "y", "t").mapInPandas(describe, "doc_id long, kind string, y int, x array<double>").toPandas()
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "kind", "y", "t").mapInPandas(describe, "doc_id long, kind string, y int, x array<double>")
+    # an id may have many rows: one of them, so that the sample stays bounded
+    rows = rows.groupBy("doc_id", "kind", "y").agg(F.min("x").alias("x")).toPandas()
     # sorted here: a sort in Spark would send texts to the driver for its boundaries
     rows = rows.assign(tie=rows["x"].map(tuple)).sort_values(["doc_id", "kind", "tie"]).reset_index(drop=True)
     of = lambda kind: np.array(rows.loc[rows["kind"] == kind, "x"].tolist()).reshape(-1, len(FEATURES))

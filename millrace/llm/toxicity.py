@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over the words of a bounded sample of examples.
 
 Terms are all words of the lower-cased texts (runs of letters and digits; each character of a script without spaces is a
-word), none is left out. Words are indexed as postings of examples; a text's cosines with all examples are summed over
-the postings of its words, so the nearest NEIGHBOURS are those of comparing all examples. Words that no example has count
-in a text's length. Votes are weighted by inverse distance; a logistic curve fitted on the examples themselves (each
-without itself) turns share of votes, nearest cosine and the log odds of all words into a score. The neighbours and
-their cosines are the evidence.
+word), none is left out. The inverted index keeps each word's postings in blocks of BLOCK examples with the block's
+largest weight. A text's largest weights bound its cosines with a block; blocks are scored from the largest bound on, and
+those whose bound is below the cosine of the last of the nearest NEIGHBOURS are skipped, so the neighbours are those of
+comparing all examples. Words that no example has count in a text's length. Votes are weighted by inverse distance; a
+logistic curve fitted on the examples themselves (each without itself) turns the share of votes and the log odds of
+all words into a score. The neighbours and their cosines are the evidence.
 
 Labels are learnt from rows outside the held-out fold alone, at most EXAMPLES of each kind. Defined results: null and
 empty texts, and texts without a word of an example, have no neighbour and get the score of such examples; labels
@@ -31,6 +32,9 @@ from millrace.llm.suffix_dedup import _pass, words_at
 EXAMPLES = 2000
 LENGTHS = (4, 6, 8)
 NEIGHBOURS = 10
+#: Examples in a block of the index, and frequent terms by which examples are ordered.
+BLOCK = 32
+COMMON = 24
 SCAN = 1 << 16
 BETWEEN = re.compile(r"[\W_]+")
 #: Characters of scripts that are written without spaces.
@@ -134,13 +138,36 @@ class Index:
         self.labels, self.ids = np.asarray(labels, np.float64), np.arange(self.n) if ids is None else ids
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         weight = np.concatenate([np.empty(0), *(self.weigh(t, c) for t, c in vectors)])
-        order = np.argsort(term, kind="stable")
-        self.example, self.weight = example[order], weight[order]
-        self.begin = np.concatenate([NONE, [0], np.cumsum(df)])
+        self.place = self._places(term, example, df)
+        at = self.place[example]
+        order = np.lexsort((at, term))
+        self.at, self.weight = at[order], weight[order]
+        # a block is BLOCK neighbouring places; an entry is one term's postings in one block
+        block, term_of = self.at // BLOCK, term[order]
+        new = np.ones(len(block), bool)
+        new[1:] = (block[1:] != block[:-1]) | (term_of[1:] != term_of[:-1])
+        start = np.flatnonzero(new)
+        self.entry_block, self.entry_start, self.entry_end = block[start], start, np.append(start[1:], len(block))
+        self.entry_max = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        self.entries = np.concatenate([NONE, [0], np.cumsum(np.bincount(term_of[start], minlength=n_terms))])
+        self.n_blocks = -(-self.n // BLOCK)
         #: In how many toxic and how many other examples each term is.
         self.toxic = np.bincount(term, self.labels[example], n_terms)
         self.clean = df - self.toxic
 
+    def _places(self, term: np.ndarray, example: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """Places of the examples, so that those with the same frequent words (of one language) stand together: then
+        the blocks' bounds differ and most blocks are never scored."""
+        frequent = np.argsort(-df, kind="stable")[:COMMON]
+        has = np.zeros((self.n, len(frequent)), bool)
+        rank = np.full(self.n_terms, -1)
+        rank[frequent] = np.arange(len(frequent))
+        at = rank[term]
+        has[example[at >= 0], at[at >= 0]] = True
+        place = np.empty(self.n, np.int64)
+        place[np.lexsort((np.arange(self.n), *(~has).T[::-1]))] = np.arange(self.n)
+        return place
+
     def raw(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray = NONE) -> tuple[np.ndarray, float]:
         """(weights, length of the whole text's vector)."""
         w, o = (1 + np.log(counts)) * self.idf[terms], (1 + np.log(others)) * self.unseen
@@ -154,11 +181,7 @@ class Index:
         """(numbers, cosines) of the k nearest examples of cosine above 0, nearest first."""
         if not len(terms) or not self.n:
             return NONE, np.empty(0)
-        q = self.weigh(terms, counts, others)
-        start, n = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
-        ends = np.cumsum(n)
-        place = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
-        s = np.bincount(self.example[place], self.weight[place] * np.repeat(q, n), self.n)
+        s = self.scores(terms, self.weigh(terms, counts, others), k + (without >= 0))[0][self.place]
         if without >= 0:
             s[without] = 0
         got = np.flatnonzero(s >= np.partition(s, self.n - k)[self.n - k]) if self.n > k else np.arange(self.n)
@@ -166,16 +189,39 @@ class Index:
         got = got[np.lexsort((got, -s[got]))[:k]]
         return got, s[got]
 
-    def votes(self, terms: np.ndarray, counts: np.ndarray, got: np.ndarray, cos: np.ndarray, others: np.ndarray = NONE) -> tuple[float, ...]:
-        """What the score is made of: share of the votes for toxic less a half, nearest cosine, whether there is a
-        neighbour at all, length of the text's vector before it is made a unit (how many terms it has), and the
-        share's product with that length. A vote weighs as much as the inverse of the neighbour's distance."""
+    def scores(self, terms: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine by place, whether its block was scored). A block whose bound, the sum of its largest weights, is below
+        the k-th best cosine of the likeliest blocks holds none of the k nearest and isn't scored."""
+        first, n = self.entries[terms], self.entries[terms + 1] - self.entries[terms]
+        ends = np.cumsum(n)
+        entry = np.arange(ends[-1]) + np.repeat(first - (ends - n), n)
+        weight, block = np.repeat(q, n), self.entry_block[entry]
+        bound = np.bincount(block, self.entry_max[entry] * weight, self.n_blocks)
+        s, scored = np.zeros(self.n), np.zeros(self.n_blocks, bool)
+
+        def score(chosen: np.ndarray) -> None:
+            e = np.flatnonzero(chosen[block])
+            start, n = self.entry_start[entry[e]], self.entry_end[entry[e]] - self.entry_start[entry[e]]
+            ends = np.cumsum(n)
+            if len(e):
+                place = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
+                s[:] += np.bincount(self.at[place], self.weight[place] * np.repeat(weight[e], n), self.n)
+            scored[chosen] = True
+
+        likely = np.zeros(self.n_blocks, bool)
+        likely[np.argsort(-bound, kind="stable")[: -(-k // BLOCK) + 1]] = True
+        score(likely)
+        least = np.partition(s, self.n - k)[self.n - k] if self.n > k else 0.0
+        score(~scored & (bound > 0) & (bound * (1 + 1e-9) >= least))
+        return s, scored
+
+    def votes(self, got: np.ndarray, cos: np.ndarray) -> tuple[float, float]:
+        """Share of the votes for toxic less a half, and whether there is a neighbour at all. A vote weighs as much as
+        the inverse of the neighbour's distance."""
         if not len(got):
-            return 0.0, 0.0, 0.0, 0.0, 0.0
+            return 0.0, 0.0
         near = 1 / (1.05 - cos)
-        share = float((near @ self.labels[got]) / near.sum()) - 0.5
-        length = float(np.log1p(self.raw(terms, counts, others)[1]))
-        return share, float(cos[0]), 1.0, length, share * length
+        return float((near @ self.labels[got]) / near.sum()) - 0.5, 1.0
 
     def odds(self, terms: np.ndarray, without: int = -1) -> tuple[float, float, float]:
         """Log odds for toxic of all of a text's terms: their sum over the root of their number, and two soft maxima.
@@ -219,7 +265,7 @@ class Model:
     def fit(self, vectors) -> Model:
         y = self.index.labels
         if len(y) and 0 < y.sum() < len(y):
-            x = np.array([self.index.votes(t, c, *self.index.nearest(t, c, without=k)) + self.index.odds(t, k) for k, (t, c) in enumerate(vectors)])
+            x = np.array([self.index.votes(*self.index.nearest(t, c, without=k)) + self.index.odds(t, k) for k, (t, c) in enumerate(vectors)])
             self.mean, self.width = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1)
             self.curve = logistic((x - self.mean) / self.width, y, self.weight)
         return self
@@ -244,7 +290,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
             got = counted(pdf["t"].tolist())
             yield pdf[["doc_id", "y"]].assign(terms=[t.tobytes() for t, _ in got], counts=[c.tobytes() for _, c in got])
 
-    rows = sample.mapInPandas(words_of, "doc_id long, y int, terms binary, counts binary").orderBy("doc_id", "terms", "counts").toPandas()
+    # an id may have many rows: one of them, so that the sample stays bounded
+    rows = sample.mapInPandas(words_of, "doc_id long, y int, terms binary, counts binary").groupBy("doc_id", "y").agg(F.min(F.struct("terms", "counts")).alias("x"))
+    rows = rows.select("doc_id", "y", "x.*").toPandas().sort_values("doc_id").reset_index(drop=True)
     codes, counts = ([np.frombuffer(x, kind) for x in rows[c]] for c, kind in (("terms", np.uint64), ("counts", np.int64)))
     vocabulary = Vocabulary(np.unique(np.concatenate([np.empty(0, np.uint64), *codes])), words)
     vectors = [(vocabulary.look_up(t)[0], c) for t, c in zip(codes, counts, strict=True)]
@@ -264,7 +312,7 @@ def score(df: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
             x, evidence = [], []
             for t, c, others in m.vocabulary.split(pdf["t"].tolist()):
                 got, cos = m.index.nearest(t, c, others=others)
-                x.append(m.index.votes(t, c, got, cos, others) + m.index.odds(t))
+                x.append(m.index.votes(got, cos) + m.index.odds(t))
                 evidence.append([{"doc_id": int(m.index.ids[k]), "cosine": float(v), "label": int(m.index.labels[k])} for k, v in zip(got, cos, strict=True)])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": m.score(np.array(x).reshape(len(x), -1)), "evidence": evidence})
 

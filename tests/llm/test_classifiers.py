@@ -152,3 +152,31 @@ def test_prior_is_fitted_on_the_whole_sample():
     unl = np.tile([0, 1, 2, 2, 2, 2], 1000)[:, None]
     p, _ = qc.fit_logistic_prior(pos, unl, 3)
     assert abs(p[0] - p[-1]) < 0.1
+
+
+def test_blocks_below_the_bound_are_not_scored():
+    # two groups of examples without common terms: a text of one never scores blocks of the other
+    r = np.random.default_rng(5)
+    vectors = [(np.append(0, 1 + np.sort(r.choice(49, 11, replace=False))) + 50 * (k % 2), r.integers(1, 4, 12)) for k in range(640)]
+    index = toxicity.Index(vectors, r.integers(0, 2, 640), 100)
+    dense = np.zeros((640, 100))
+    for k, (t, c) in enumerate(vectors):
+        dense[k, t] = index.weigh(t, c)
+    for k in range(60):
+        t, c = vectors[k]
+        got, near = index.nearest(t, c)
+        cos = dense @ dense[k]
+        assert got[0] == k and np.allclose(near, np.sort(cos)[::-1][:10])
+        s, scored = index.scores(t, index.weigh(t, c), 10)
+        assert scored.sum() <= index.n_blocks / 2 + 1
+        skipped = ~scored[index.place // toxicity.BLOCK]
+        assert skipped.any() and cos[skipped].max(initial=0) <= near[-1] + 1e-9
+
+
+@pytest.mark.parametrize("score, label", [(qc.score, "quality"), (toxicity.score, "toxic")])
+def test_rows_of_a_repeated_id_are_one_example(spark, score, label):
+    docs = [(7, f"word{k} text") for k in range(300)] + [(k, "good words here" if k % 2 else "bad things there") for k in range(60)]
+    labels = [(k, k % 2) for k in range(60)]
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    got = score(a, spark.createDataFrame(labels, f"doc_id long, {label} int"), folds=50, held_out=49)
+    assert got.count() == 360
