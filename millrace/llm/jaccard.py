@@ -10,8 +10,9 @@
 
 Words are maximal runs of characters other than space and U+0009 to U+000D; a text of one to four words has one
 shingle, all its words. Defined results: null and empty texts have no shingles, hence no links, and each is its
-own class; rows without doc_id are in no class (class_id null, no links, kept); rows that share a doc_id count as
-one document; other columns aren't read; an empty table gives an empty table.
+own class; rows without doc_id are in no class (class_id null, no links, kept); rows that share a doc_id are one document:
+equal ones count once, different texts are compared like those of different documents, and classes that have the same
+smallest doc_id get each other's links added; other columns aren't read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -205,6 +206,8 @@ def intersections(sets: list[np.ndarray], ii: np.ndarray, jj: np.ndarray) -> np.
 def _compare(group: pd.DataFrame) -> pd.DataFrame | None:
     if len(group) < 2:
         return None
+    # rows that share doc_id and text are one
+    group = group[~group.duplicated(["id", "c1"]).to_numpy()].reset_index(drop=True)
     sets = [np.frombuffer(b, np.uint64) for b in group["shingles"]]
     own, ids, weight = group["own"].to_numpy(), group["id"].to_numpy(), group["n"].to_numpy()
     i, j = group["i"].iloc[0], group["j"].iloc[0]
@@ -215,6 +218,11 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame | None:
 
 def similarity_join(df: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, component_id, kept): one row a document. n_links: other documents linked directly."""
+    return _joined(df, text).drop("h")
+
+
+def _joined(df: DataFrame, text: str) -> DataFrame:
+    """similarity_join with h, a hash of the row's text."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
 
     def sign(batches):
@@ -230,11 +238,11 @@ def similarity_join(df: DataFrame, text: str = "text") -> DataFrame:
                 out += [(*(class_key(s) if len(s) else (None, None)), k) for s, k in zip(sets, keys, strict=True)]
             # whole numbers with nulls: as floats they would lose digits
             halves = [pd.array([x[k] for x in out], "Int64") for k in (0, 1)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "c1": halves[0], "c2": halves[1], "bands": [x[2] for x in out]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "h": pdf["h"].to_numpy(), "c1": halves[0], "c2": halves[1], "bands": [x[2] for x in out]})
 
-    signed = saved(spread(docs).where("doc_id is not null").mapInPandas(sign, "doc_id long, c1 long, c2 long, bands array<long>"), "signed")
+    signed = saved(spread(docs).where("doc_id is not null").withColumn("h", F.xxhash64("t")).mapInPandas(sign, "doc_id long, h long, c1 long, c2 long, bands array<long>"), "signed")
     classes = saved(
-        signed.where("c1 is not null").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.count(F.lit(1)).alias("n")).select("c1", "c2", "n", F.col("m.doc_id").alias("id"), F.col("m.bands").alias("bands")),
+        signed.where("c1 is not null").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.count_distinct("doc_id").alias("n")).select("c1", "c2", "n", F.col("m.doc_id").alias("id"), F.col("m.bands").alias("bands")),
         "classes",
     )
     keyed = classes.select("id", F.explode("bands").alias("key"))
@@ -250,25 +258,29 @@ def similarity_join(df: DataFrame, text: str = "text") -> DataFrame:
                 part = pdf.iloc[a:b]
                 sets = shingle_sets(texts[a:b])
                 same = [len(s) > 0 and class_key(s) == (x, y) for s, x, y in zip(sets, part["c1"], part["c2"], strict=True)]
-                yield part[["component", "size", "id", "n"]].assign(shingles=[s.tobytes() for s in sets])[same]
+                yield part[["component", "size", "id", "n", "c1"]].assign(shingles=[s.tobytes() for s in sets])[same]
 
-    with_sets = docs.join(asked, docs["doc_id"] == asked["id"]).select("component", "size", "id", "n", "c1", "c2", "t").mapInPandas(sets_of, "component long, size long, id long, n long, shingles binary")
+    with_sets = docs.join(asked, docs["doc_id"] == asked["id"]).select("component", "size", "id", "n", "c1", "c2", "t").mapInPandas(sets_of, "component long, size long, id long, n long, c1 long, shingles binary")
     found = saved(by_group(block_pairs(with_sets, "size", "id", BLOCK), ["component", "i", "j"], _compare, "id long, links long, root long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     of_class = classes.select("c1", "c2", "n", "id").join(links, "id", "left").join(roots, "id", "left")
-    named = signed.select("doc_id", "c1", "c2").join(of_class, ["c1", "c2"], "left").select(
+    named = signed.select("doc_id", "h", "c1", "c2").join(of_class, ["c1", "c2"], "left").select(
         "doc_id",
+        "h",
         F.coalesce("id", "doc_id").alias("class_id"),
         (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component", "id", "doc_id").alias("component_id"),
     )
-    nameless = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    nameless = docs.where("doc_id is null").select("doc_id", F.xxhash64("t").alias("h"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     return named.union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(df: DataFrame, text: str = "text") -> DataFrame:
-    """df's rows without the documents whose component has a smaller doc_id; of rows that share a doc_id one stays."""
-    kept = similarity_join(df, text).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(df.columns).union(df.where("doc_id is null"))
+    """df's rows without the documents whose component has a smaller doc_id; of rows that share doc_id and text one
+    stays."""
+    kept = _joined(df, text).where("kept and doc_id is not null").select("doc_id", "h").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    rows = df.where("doc_id is not null").select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+    one = rows.join(kept, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return one.select("row.*").union(df.where("doc_id is null"))

@@ -76,7 +76,7 @@ def test_similarity_join_of_odd_tables(spark):
     got = sorted(map(tuple, jaccard.similarity_join(df).collect()), key=str)
     assert len(got) == 7 and [x for x in got if x[0] is None] == [(None, None, 0, None, False)] * 0 + [x for x in got if x[0] is None]
     assert [(x[3], x[4]) for x in got if x[0] == 9] == [(4, False)]
-    assert sorted(r.doc_id or -1 for r in jaccard.one_of_each(df).collect()) == [-1, -1, 4, 10]
+    assert sorted(r.doc_id or -1 for r in jaccard.one_of_each(df).collect()) == [-1, -1, 4, 4, 10]
 
 
 def test_posterior_pruning_keeps_pairs_above_the_threshold():
@@ -135,3 +135,22 @@ def test_groups_over_batches(spark):
         assert got == {g: (sum(range(g, 200, 13)), len(range(g, 200, 13))) for g in range(13)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_repeated_rows_count_once(spark):
+    base = [f"w{k}" for k in range(60)]
+    t, near = " ".join(base), " ".join([*base[:-1], "other"])
+    rows = [(4, t), (4, t), (5, near), (None, t), (4, near), (6, "something else"), (6, t)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_links, r.component_id) for r in jaccard.similarity_join(df.where("not (doc_id = 4 and text like '%other')").where("doc_id < 6")).collect()}
+    assert got == {(4, 1, 4), (5, 1, 4)}
+    # rows that share doc_id and text are one, others stay
+    left = jaccard.one_of_each(df)
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(4, t), (4, near), (0, t), (6, "something else")])
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "row", "sha", "component", "c1"]
+    df = spark.createDataFrame([(1, "a b c d e f", "r", "s", "x", 1), (2, "a b c d e f", "r", "s", "x", 2)], "doc_id long, text string, row string, sha string, component string, c1 int")
+    left = jaccard.one_of_each(df)
+    assert left.columns == names and [tuple(r) for r in left.collect()] == [(1, "a b c d e f", "r", "s", "x", 1)]
