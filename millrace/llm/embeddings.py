@@ -1,7 +1,8 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
-Vectors that are equal and have equal labels form a class, of which one is compared. Centres are fitted on a bounded
-sample (SAMPLE rows). A vector's home is the cell of its nearest centre. Two unit vectors of cosine >= t are at most
+Vectors that are equal and have equal labels form a class, of which one is compared. Each label has cells of its own,
+whose number grows with the label; centres are fitted on its rows of a bounded sample (SAMPLE rows; a label of fewer than
+eight rows there has one cell, and at most a quarter as many cells as rows). A vector's home is the cell of its nearest centre. Two unit vectors of cosine >= t are at most
 d = sqrt(2 - 2t) apart; if their homes differ, the plane half way between the two centres parts them, so one of them
 is at most d / 2 from it. Hence every vector also visits each cell whose parting plane is that near: every pair meets
 in the home of one of the two, and no link is lost, however good the centres are. Within (label, cell), blocks of
@@ -9,8 +10,8 @@ vectors are multiplied with blocks; a pair that meets in both homes counts in th
 they are found; components run over roots, and the vector of the smallest vec_id of each component is kept.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; nor do vectors
-with a null label or without vec_id; vectors of different lengths never link; rows that share a vec_id count as one
-vector; an empty table gives an empty table; other columns aren't read.
+with a null label or without vec_id; vectors of different lengths never link; rows that share a vec_id are one vector:
+equal ones count once, different ones are never linked with each other, and each of its rows gets the links of all; an empty table gives an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ from millrace.llm.samples import first_by_hash
 
 THRESHOLD = 0.98
 SAMPLE = 16384
-#: Vectors that a cell would hold if cells were even; at most MOST_CELLS cells.
-PER_CELL = 2000
-MOST_CELLS = 1024
+#: Vectors of a label that a cell would hold if its cells were even.
+PER_CELL = 1000
 BLOCK = 1024
 SEED = 5
 
@@ -66,22 +66,23 @@ def near_vectors(df: DataFrame, vector: str = "embedding", label: str = "label",
     # a digest of the vector stands for it where classes are joined; -0.0 is 0.0
     digest = F.md5(F.to_json(F.struct(F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))))
     keyed = saved(rows.withColumn("class", F.when(usable, F.concat_ws(":", digest, F.col("label")))).select("vec_id", "label", "class", F.when(usable, F.col("v")).alias("v")), "vectors")
-    classes = saved(keyed.where("class is not null").groupBy("class").agg(F.min(F.struct("vec_id", "label", "v")).alias("m"), F.count(F.lit(1)).alias("n")).select("class", "n", F.col("m.vec_id").alias("id"), F.col("m.label").alias("label"), F.col("m.v").alias("v")), "classes")
+    classes = saved(keyed.where("class is not null").groupBy("class").agg(F.min(F.struct("vec_id", "label", "v")).alias("m"), F.count_distinct("vec_id").alias("n")).select("class", "n", F.col("m.vec_id").alias("id"), F.col("m.label").alias("label"), F.col("m.v").alias("v")), "classes")
     total = classes.count()
-    sample = first_by_hash(classes.select("id", "v"), SAMPLE, "id", total).select("v").toPandas()["v"]
+    sample = first_by_hash(classes.select("id", "label", "v"), SAMPLE, "id", total).select("label", "v").toPandas()
     centres = {}
-    for size in sorted({len(x) for x in sample}):
-        x = unit(np.stack([v for v in sample if len(v) == size]))
-        centres[size] = spherical_kmeans(x, int(np.clip(total // PER_CELL, 1, MOST_CELLS)))
+    for key, own in sample.groupby(["label", sample["v"].map(len)])["v"]:
+        # two cells at least, and no more than a sample of four vectors each can tell apart
+        many = max(2, -(-len(own) * total // (len(sample) * PER_CELL)))
+        if len(own) >= 8:
+            centres[key] = spherical_kmeans(unit(np.stack(own.to_list())), int(min(many, len(own) // 4)))
     reach = np.sqrt(2 - 2 * threshold) / 2 + 1e-9
 
     def assign(batches):
         gaps = {s: np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(axis=2), 0)) for s, c in centres.items()}
         for pdf in batches:
-            length = pdf["v"].map(len).to_numpy()
+            length = pdf["v"].map(len)
             home_of, visits_of = np.zeros(len(pdf), np.int64), [None] * len(pdf)
-            for s in np.unique(length):
-                at = np.flatnonzero(length == s)
+            for s, at in pdf.groupby(["label", length]).indices.items():
                 if s not in centres:
                     for k in at:
                         visits_of[k] = np.array([0])
@@ -92,7 +93,7 @@ def near_vectors(df: DataFrame, vector: str = "embedding", label: str = "label",
                 for k, h, ok in zip(at, home, behind <= reach * gaps[s][home] + 1e-12, strict=True):
                     home_of[k] = h
                     visits_of[k] = np.flatnonzero(ok)
-            yield pdf.assign(size=length, home=home_of, visits=visits_of)
+            yield pdf.assign(size=length.to_numpy(), home=home_of, visits=visits_of)
 
     placed = saved(classes.select("label", "id", "n", "v").mapInPandas(assign, "label string, id long, n long, v array<double>, size int, home int, visits array<int>"), "placed")
     met = placed.withColumn("cell", F.explode("visits"))

@@ -146,3 +146,21 @@ def test_settled_ranks_are_those_of_a_plain_loop(spark):
     # seeds of few pages among many keep a rank to pass on
     many = spark.createDataFrame([("a", "allow")], "host string, given string").union(spark.range(999).selectExpr("'b'", "'allow'"))
     assert {r.host: r.seed for r in url_filter.seeds(many, url_filter.FINE).collect()} == {"a": 10**15, "b": 999 * 10**15}
+
+
+def test_repeated_vectors_count_once(spark):
+    v, near, far = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, v, 1), (1, v, 1), (2, near, 1), (3, far, 1), (3, [0.0, 0.01, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted(tuple(r) for r in embeddings.near_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 0, 3, True)]
+
+
+def test_labels_have_cells_of_their_own(spark, monkeypatch):
+    fitted = []
+    plain = embeddings.spherical_kmeans
+    monkeypatch.setattr(embeddings, "spherical_kmeans", lambda x, k: fitted.append((len(x), k)) or plain(x, k))
+    r = np.random.default_rng(4)
+    rows = [(k, r.normal(size=6).tolist(), k % 3 if k < 90 else 7) for k in range(95)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert got.count() == 95 and fitted == [(30, 2)] * 3
