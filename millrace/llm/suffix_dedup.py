@@ -31,8 +31,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import drop_table, saved, spread
 
@@ -378,8 +379,6 @@ def _cut(batches):
 
         for t, k, t1, n, found in zip(pdf["t"], pdf["k"], pdf["t1"], pdf["n"], pdf["runs"], strict=True):
             text = t.encode()
-            if _digest(text)[1] != t1:
-                continue  # another text of the same doc_id
             for r in found:
                 first, stop, leader = r["first"], r["stop"], r["leader"]
                 cuts = _sub_runs(text, first, stop, r["place"], leader) if r["often"] else [(leader, first, stop)]
@@ -455,19 +454,29 @@ def removed_bytes(lengths: np.ndarray, marks: pa.ListArray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def _kept(batch: pa.RecordBatch, text: str, marks: str):
-    """(number, text, which of its bytes go) of each row of batch; null texts are empty."""
-    texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
+def _kept(column: pa.Array, marks: pa.ListArray):
+    """(number, text, which of its bytes go) of each text; null texts are empty."""
+    texts = [(t or "").encode() for t in column.to_pylist()]
     at = 0
-    column = batch.column(marks)
     for a, b in _pass(texts, 1 << 20):
         lengths = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
-        gone = removed_bytes(lengths, column.slice(a, b - a))
+        gone = removed_bytes(lengths, marks.slice(a, b - a))
         for k, g in enumerate(np.split(gone, np.cumsum(lengths)[:-1])):
             yield at + k, texts[a + k], g
         at += b - a
 
 
+def _t1(text: Column) -> Column:
+    """What _digest has as its number."""
+    hex_ = F.substring(F.sha2(text, 256), 1, 16)
+    return F.conv(F.concat(*(F.substring(hex_, 15 - 2 * k, 2) for k in range(8))), 16, -10).cast("long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with k and t1: texts that share a doc_id or have none are told apart by their digests."""
+    return docs.select("t", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), _t1(F.col("t")).alias("t1"))
+
+
 def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scanned documents, copies of each text, marks of the texts that have any) for docs of (doc_id, t)."""
     scanned = saved(spread(docs).mapInPandas(_scan, "doc_id long, sha string, t1 long, n_bytes long, leaders array<long>, firsts array<int>, places array<int>"), "scanned")
@@ -484,8 +493,7 @@ def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # written, so that the join deals it out anew and Spark can split a frequent leader's side of it
     often = saved(rows.groupBy("leader").agg(F.sum("n").alias("c")).where("c > 1").select("leader", (F.col("c") >= FREQUENT).alias("often")), "leaders")
     chosen = rows.join(often, "leader").groupBy("k", "t1").agg(F.first("n").alias("n"), F.collect_list(F.struct("leader", "first", "stop", "place", "often")).alias("runs"))
-    keyed = docs.withColumn("k_", F.coalesce("doc_id", F.lit(NO_ID)))
-    cut = keyed.join(chosen, keyed["k_"] == chosen["k"]).select("t", "k", "t1", "n", "runs").mapInPandas(_cut, "p1 long, p2 long, leader long, piece binary, times long, k long, t1 long, first int")
+    cut = _keyed(docs).join(chosen, ["k", "t1"]).select("t", "k", "t1", "n", "runs").mapInPandas(_cut, "p1 long, p2 long, leader long, piece binary, times long, k long, t1 long, first int")
     pieces = saved(cut, "pieces")
     copies = saved(texts.select("sha", "n"), "copies")
     drop_table(texts)
@@ -507,17 +515,12 @@ def repeat_report(df: DataFrame, text: str = "text") -> DataFrame:
     def remove(batches):
         for batch in batches:
             out = []
-            # other texts of the same doc_id have other marks or none
-            digests = [_digest(t.encode()) for t in batch.column("t").to_pylist()]
-            own = [h == t1 for (_, h), t1 in zip(digests, batch.column("t1").to_pylist(), strict=True)]
-            shas = [sha for (sha, _), ok in zip(digests, own, strict=True) if ok]
-            for k, t, gone in _kept(batch.filter(pa.array(own, pa.bool_())), "t", "marks"):
+            for _, t, gone in _kept(batch.column("t"), batch.column("marks")):
                 b = np.frombuffer(t, np.uint8)
-                out.append((shas[k], int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), hashlib.sha256(b[~gone].tobytes()).hexdigest()))
+                out.append((_digest(t)[0], int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum()), hashlib.sha256(b[~gone].tobytes()).hexdigest()))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["sha", "gone", "spans", "kept"]).astype({"gone": "int64", "spans": "int64"}), preserve_index=False, schema=pa.schema([("sha", pa.string()), ("gone", pa.int64()), ("spans", pa.int64()), ("kept", pa.string())]))
 
-    keyed = docs.withColumn("k_", F.coalesce("doc_id", F.lit(NO_ID)))
-    found = keyed.join(marks, keyed["k_"] == marks["k"]).select("t", "t1", "marks").mapInArrow(remove, "sha string, gone long, spans long, kept string").dropDuplicates(["sha"])
+    found = _keyed(docs).join(marks, ["k", "t1"]).select("t", "marks").mapInArrow(remove, "sha string, gone long, spans long, kept string").dropDuplicates(["sha"])
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= WINDOW)
     return scanned.select("doc_id", "sha", "n_bytes").join(copies.join(found, "sha", "left"), "sha").select(
         "doc_id",
@@ -534,21 +537,24 @@ def without_repeats(df: DataFrame, text: str = "text", chars: str = "n_chars") -
     scanned, copies, marks = _find(docs)
     twice = copies.where("n > 1").join(scanned.where(F.col("n_bytes") >= WINDOW).select("sha", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "t1"), "sha").select("k", "t1").distinct()
     change = marks.join(twice.withColumn("all_gone", F.lit(True)), ["k", "t1"], "full")
-    key, schema = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), df.schema
-    # texts that share a doc_id are told apart by their digests
-    hex_ = F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256), 1, 16)
-    reversed_ = F.concat(*(F.substring(hex_, 15 - 2 * k, 2) for k in range(8)))
-    keyed = df.withColumns({"k_": key, "t1_": F.conv(reversed_, 16, -10).cast("long")})
-    joined = keyed.join(change, (keyed["k_"] == change["k"]) & (keyed["t1_"] == change["t1"]), "left").select(*(df[c] for c in df.columns), F.col("all_gone").alias("gone_"), F.col("marks").alias("marks_"))
-    emptied = F.when(F.col(text).isNotNull(), F.lit(""))
-    same = joined.where("marks_ is null or gone_").withColumn(text, F.when(F.col("gone_"), emptied).otherwise(F.col(text))).select(df.columns)
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # the row goes as one column, whatever its own are called
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), _t1(whole).alias("t1"))
+    joined = rows.join(change, ["k", "t1"], "left").select("row", "all_gone", "marks")
+    own, place = F.col("row").getField(text), df.columns.index(text)
+    rest = [F.col("row").getField(c).alias(c) for c in df.columns]
+    emptied = F.when(F.col("all_gone") & own.isNotNull(), F.lit("")).otherwise(own).alias(text)
+    same = joined.where("marks is null or all_gone").select(*rest[:place], emptied, *rest[place + 1 :])
 
     def remove(batches):
         for batch in batches:
-            new = [np.frombuffer(t, np.uint8)[~gone].tobytes().decode(errors="ignore") for _, t, gone in _kept(batch, text, "marks_")]
-            at = batch.schema.get_field_index(text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).drop_columns(["gone_", "marks_"])
-
-    new = joined.where("marks_ is not null and not coalesce(gone_, false)").mapInArrow(remove, schema)
+            row = batch.column(0)
+            fields = row.flatten()
+            new = [np.frombuffer(t, np.uint8)[~gone].tobytes().decode(errors="ignore") for _, t, gone in _kept(fields[place], batch.column(1))]
+            fields[place] = pa.array(new, fields[place].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], ["row"])
+
+    schema = T.StructType([T.StructField("row", df.schema)])
+    new = joined.where("marks is not null and not coalesce(all_gone, false)").select("row", "marks").mapInArrow(remove, schema).select("row.*")
     both = same.union(new)
-    return both.withColumn(chars, F.length(text).cast(schema[chars].dataType)) if chars in df.columns else both
+    return both.withColumn(chars, F.length(text).cast(df.schema[chars].dataType)) if chars in df.columns else both

@@ -111,3 +111,29 @@ def test_shards_of_a_leader_are_merged(shard):
     n = Counter(p[i : i + 200] for p in pieces for i in range(len(p) - 199))
     (masks,) = sd.repeated_in([(pieces, times)], shard)
     assert [m.tolist() for m in masks] == [[n[p[i : i + 200]] > 1 for i in range(len(p) - 199)] for p in pieces]
+
+
+CLASHING = "doc_id long, text string, k long, t1 long, k_ string, t1_ string, row string, marks int, marks_ int, all_gone boolean, gone_ boolean, sha string"
+
+
+def test_columns_of_any_name_pass_through(spark):
+    t = "".join(random.Random(6).choices("abcdef ", k=400))
+    rest = (5, 6, "k", "t", "r", 1, 2, True, False, "s")
+    rows = [(1, t, *rest), (2, t, *rest), (3, t[:260] + "!", *rest), (4, None, *rest), (5, "short", *rest)]
+    df = spark.createDataFrame(rows, CLASHING)
+    got = sd.without_repeats(df)
+    assert got.columns == df.columns
+    want = brute([x[1] for x in rows])
+    assert sorted(map(tuple, got.collect())) == sorted((x[0], None if x[1] is None else w[4].decode(), *rest) for x, w in zip(rows, want))
+    assert sd.repeat_report(df).count() == 5
+
+
+def test_rows_without_id_are_told_apart_by_their_texts(spark):
+    # a join on the missing id alone would pair each of these with each
+    r = random.Random(7)
+    core = "".join(r.choices("abcdef ", k=230))
+    rows = [(None, "".join(r.choices("abcdef ", k=r.randrange(0, 60))) + (core if k % 2 else "") + str(k)) for k in range(120)]
+    got = Counter(tuple(x) for x in sd.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((None, *w[:4]) for w in brute([t for _, t in rows]))
+    scanned, copies, marks = sd._find(spark.createDataFrame(rows, "doc_id long, t string"))
+    assert sd._keyed(spark.createDataFrame(rows, "doc_id long, t string")).join(marks, ["k", "t1"]).count() == 60
