@@ -11,7 +11,8 @@ added, and a document is emitted once for each whole number that its stretch of
 MAX_REPEAT copies, and as the documents lie in the order of their size classes, the words taken stay near the target.
 
 A source that holds any share of the rows is no hot group: the running sums are taken in buckets
-(size class, doc_id modulo SLICES), and a bucket's start comes from the few totals of the buckets.
+(size class, hash of doc_id modulo the number of slices, which grows with the rows), and a bucket's start comes from
+the few totals of the buckets.
 
 Defined results: a null text has size 0; documents of size 0 in a source without words are not taken; a
 null source is a source of its own; an empty table gives an empty table; repeated rows are sampled one by
@@ -30,7 +31,9 @@ from millrace.llm.common import saved, words
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 UNIT = 1_000_000_000
-SLICES = 64
+#: Rows of all sources for which a size class gets another slice, and the fewest slices.
+PER_SLICE = 250_000
+LEAST_SLICES = 64
 #: A document is large if it has more than one LARGE-th of its source's target and one LARGE_OF_SOURCE-th of its words.
 LARGE = 100
 LARGE_OF_SOURCE = 1000
@@ -74,13 +77,19 @@ def large_copies(sizes: Column, rate: Column, most: int) -> Column:
     return F.aggregate(sizes, F.struct(zero.alias("seen"), zero.alias("taken"), F.array().cast("array<struct<place:int,copies:bigint,size:bigint>>").alias("plan")), step, lambda x: x["plan"])
 
 
+def _slice(key: Column, size: Column, rows: int) -> Column:
+    """A hash of key (of the size where it is null) modulo the number of slices, by whole numbers that SQL has too."""
+    hashed = F.pmod(F.coalesce(key, size), F.lit(1_000_003)) * 7919 % 1_000_003
+    return (hashed % max(LEAST_SLICES, rows // PER_SLICE)).cast("int")
+
+
 def copies(df: DataFrame, carried: list[str], text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, most: int = MAX_REPEAT, offset: int = OFFSET) -> DataFrame:
     """(row, size, source_size, target, copies) of each row of df: row has the carried columns, copies how often the
     mix takes it."""
     row = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")
     sized = df.select(row, F.col(key).alias("k"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("s"), size_of(F.col(text)).alias("size"))
     bucket = ["s", "cls", "sub"]
-    sized = sized.withColumns({"cls": F.length(F.bin("size")), "sub": F.coalesce(F.pmod(F.col("k"), F.lit(SLICES)), F.lit(0)).cast("int"), "tie": F.xxhash64("row")})
+    sized = sized.withColumns({"cls": F.length(F.bin("size")), "sub": _slice(F.col("k"), F.col("size"), df.count()), "tie": F.xxhash64("row")})
     # a row for each bucket: sources x size classes x SLICES at most
     per = saved(sized.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix")
     goal = per.groupBy("s").agg(F.sum("words").alias("source_size")).select(F.expr("nullif(s, '')").alias("s"), "source_size")
@@ -137,7 +146,7 @@ g(i, place, seen, taken, copies) AS (
       least(greatest(floor((l.target / l.source_size::DOUBLE * (g.seen + l.size) - g.taken) / l.size + 0.5), 0), {MAX_REPEAT})::BIGINT AS copies
     FROM g JOIN l ON l.i = g.i AND l.place = g.place + 1)),
 e AS (SELECT i, max_by(taken, place) AS taken, max(seen) AS seen FROM g GROUP BY i),
-r AS (SELECT a.*, row_number() OVER (PARTITION BY a.i ORDER BY length(bin(size)), coalesce(doc_id % {SLICES}, 0), size, doc_id) AS n,
+r AS (SELECT a.*, row_number() OVER (PARTITION BY a.i ORDER BY length(bin(size)), coalesce(doc_id, size) % 1000003 * 7919 % 1000003 % (SELECT greatest({LEAST_SLICES}, count(*) // {PER_SLICE}) FROM documents), size, doc_id) AS n,
         CASE WHEN source_size - seen > 0 THEN floor(least(greatest((target - taken) / (source_size - seen)::DOUBLE, 0.0), {MAX_REPEAT}.0) * {UNIT}) ELSE 0 END::HUGEINT AS e
       FROM a JOIN e USING (i) WHERE NOT large)
 SELECT doc_id, size, source_size, target, (((n * e + {OFFSET}) // {UNIT} - ((n - 1) * e + {OFFSET}) // {UNIT}) * size)::BIGINT AS taken FROM r

@@ -94,3 +94,18 @@ def test_mixing_of_nothing(spark):
     assert mixing.mix_report(df).count() == 0 and mixing.mixed(df).count() == 0
     only = spark.createDataFrame([(None, None, None), (1, "", None)], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mix_report(only).collect()] == [0, 0]
+
+
+def test_an_expensive_rule_that_rejects_little_comes_last(spark):
+    rows = [(k, "word " * (10 if k % 2 else 200) + " ".join(f"w{k}x{i}" for i in range(400 if k % 2 == 0 else 0))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    slow = quality_rules.Rule("slow", ("n_words", "n_repeat_words"), lambda n, r: 100 * r > 99 * n)
+    quick = quality_rules.Rule("quick", ("n_words",), lambda n: n < 50)
+    for rules in ([slow, quick], [quick, slow]):
+        assert [r.name for r in quality_rules.ordered(df, rules)] == ["quick", "slow"]
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    rows = [(1, "word " * 60), (1, "word " * 60), (None, "a b"), (None, "a b"), (2, None), (2, None)]
+    got = quality_rules.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and len({tuple(r) for r in got}) == 3
