@@ -14,48 +14,49 @@ from millrace.llm import bpe, common, jaccard, mixing, quality_rules, suffix_ded
 #: SQL can express neither near duplicates by pruned similarity, nor suffix arrays, nor BPE.
 ORACLE_SQL = None
 
-_used: list[str] = []
+#: Scratch tables of the last stage over each folder of tables.
+_used: dict[str, list[str]] = {}
 
 
-def _begin(spark: SparkSession) -> set[str]:
-    for path in _used:
+def _begin(spark: SparkSession, sf_dir: str) -> set[str]:
+    for path in _used.pop(sf_dir, []):
         common.drop_path(spark, path)
-    _used.clear()
     return set(common.scratch_paths())
 
 
-def _end(before: set[str], out: DataFrame) -> DataFrame:
-    _used.extend(p for p in common.scratch_paths() if p not in before)
+def _end(sf_dir: str, before: set[str], out: DataFrame) -> DataFrame:
+    _used[sf_dir] = [p for p in common.scratch_paths() if p not in before]
     return out
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return _end(_begin(spark), quality_rules.quality_filter(docs))
+    before = _begin(spark, sf_dir)
+    return _end(sf_dir, before, quality_rules.quality_filter(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    before = _begin(spark)
-    return _end(before, jaccard.one_of_each(docs))
+    before = _begin(spark, sf_dir)
+    return _end(sf_dir, before, jaccard.one_of_each(docs))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of repeated strings."""
-    before = _begin(spark)
-    return _end(before, suffix_dedup.without_repeats(docs))
+    before = _begin(spark, sf_dir)
+    return _end(sf_dir, before, suffix_dedup.without_repeats(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    before = _begin(spark)
-    return _end(before, mixing.mixed(docs))
+    before = _begin(spark, sf_dir)
+    return _end(sf_dir, before, mixing.mixed(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens): ids as little-endian unsigned 32-bit integers."""
-    before = _begin(spark)
-    return _end(before, bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    before = _begin(spark, sf_dir)
+    return _end(sf_dir, before, bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 STAGES = [("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeats), ("mixing sources", mix), ("byte-level BPE", tokens)]

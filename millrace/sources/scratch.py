@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one if all runs on this machine."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
