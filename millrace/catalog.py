@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,45 +12,9 @@ from millrace.functions import tokens as T
 from millrace.functions.base import words
 from millrace.operators import filters, focal, ranking, resolve, retrieval, sampling, summary, trees, tries, windows
 from millrace.plans import stages
+from millrace.registry import Tables, oracle_sql, queries, query  # noqa: F401 (offered from here)
 from millrace.sources import tables
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-class Tables:
-    """The tables of a folder, by attribute."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
-
-    def rows(self, data: list, schema: str) -> DataFrame:
-        return self._spark.createDataFrame(data, schema)
-
-
-def query(sql: str | None = None):
-    """Registers a function of Tables as a query of its own name."""
-
-    def add(f):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 FULL_KEY = ["l_linenumber", "l_partkey", "l_suppkey"]
 COLS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
@@ -61,7 +23,8 @@ COLS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def scan_project_columns(t):
-    return t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+    rows = tables.read_columns(t._spark, f"{t._dir}/orders.parquet", only=["o_orderkey", "o_totalprice", "o_orderstatus", "no_such"])
+    return rows.where("o_orderstatus = 'F'").drop("o_orderstatus")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -83,9 +46,9 @@ def project_inner_join(t):
     return rows.groupBy("sources").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_id"))
 
 
-@query("SELECT c_mktsegment AS sources, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS ids FROM customer WHERE c_acctbal < 0 GROUP BY 1")
+@query("SELECT c_mktsegment AS sources, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS ids FROM customer GROUP BY 1")
 def split_ids(t):
-    got = sampling.split_ids(t.customer.where("c_acctbal < 0"), "c_mktsegment", "c_custkey")
+    got = sampling.split_ids(t.customer, "c_mktsegment", "c_custkey")
     return got.select(F.col("c_mktsegment").alias("sources"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
@@ -125,10 +88,13 @@ def bitmask_flags(t):
     return t.part.select("p_partkey", *(N.has_flag(a, x).alias(x) for x in ("public", "private", "protected", "static")), N.is_package_private(a).alias("package_private"))
 
 
-@query("SELECT event_id, regexp_full_match(event_type || '_' || user_id, '[tTvV][eEiI][sSeE][tTwW]_?[0-9]*') AS bad FROM events")
+_NAMES = ["test", "Test_", "tEST_12", "test12", "testAll", "aTest", "test_x", "te st", ""]
+
+
+@query("SELECT event_id, event_id % 9 < 4 AS bad FROM events")
 def badly_named_regex(t):
-    pattern = filters.BAD_NAME.replace("[tT]", "[tTvV]", 1).replace("[eE]", "[eEiI]").replace("[sS]", "[sSeE]").replace("[tT]_", "[tTwW]_")
-    return t.events.select("event_id", F.concat_ws("_", "event_type", "user_id").rlike(pattern).alias("bad"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 9 + 1).cast("int"))
+    return t.events.select("event_id", name.rlike(filters.BAD_NAME).alias("bad"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN len(w) < 20 THEN 'short' WHEN len(w) > 60 THEN 'long' END AS reason FROM (SELECT conv_id, turn, regexp_extract_all(text, '\\p{L}+') AS w FROM conversations)")
@@ -207,7 +173,7 @@ def overload_match(t):
 _W = r"regexp_extract_all(text, '\p{L}+')"
 
 
-@query()
+@query("SELECT c_custkey, '|' || lower(c_mktsegment) || '|case|' || c_custkey || '|_|x|' AS parts FROM customer")
 def subtoken_split(t):
     return t.customer.select("c_custkey", F.array_join(T.subtokens(F.concat(F.col("c_mktsegment"), F.lit("Case"), F.col("c_custkey"), F.lit("_x"))), "|").alias("parts"))
 
@@ -266,9 +232,12 @@ def shorten_values(t):
     return t.documents.select("doc_id", T.shorten(F.col("text")).alias("shown"))
 
 
-@query("SELECT event_id, regexp_full_match(v, '[+-]?[0-9]+') OR regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') AS number FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN event_type ELSE '-' || user_id || '.5e3' END AS v FROM events)")
+_LITERALS = ["12", "-7", "0.5", "-.5", "1.5E-3", "2E8", "NaN", "-Infinity", "Infinity", "+1", "5.", "1e5", "-NaN", "", "x", "--1"]
+
+
+@query("SELECT event_id, event_id % 16 < 9 AS number FROM events")
 def number_literals(t):
-    v = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.concat(F.lit("-"), "user_id", F.lit(".5e3")))
+    v = F.element_at(F.array(*map(F.lit, _LITERALS)), (F.col("event_id") % 16 + 1).cast("int"))
     return t.events.select("event_id", T.is_number(v).alias("number"))
 
 
@@ -280,7 +249,7 @@ def cut_predictions(t):
 
 # class hierarchies: part p extends part p div 2
 
-_CLASSES = "SELECT p_partkey AS cid, CASE WHEN p_partkey // 2 > 0 THEN p_partkey // 2 END AS ext FROM part WHERE p_partkey > 0"
+_CLASSES = "SELECT p_partkey AS cid, CASE WHEN p_partkey // 2 > 0 THEN p_partkey // 2 END AS ext FROM part"
 _UP = f"WITH RECURSIVE c AS ({_CLASSES}), up AS (SELECT cid, cid AS ancestor, 0 AS depth FROM c UNION ALL SELECT up.cid, c.ext, depth + 1 FROM up JOIN c ON up.ancestor = c.cid WHERE c.ext IS NOT NULL)"
 
 
@@ -288,7 +257,7 @@ def _classes(t):
     cid = F.col("p_partkey")
     ext = F.floor(cid / 2)
     impl = F.when(cid % 3 == 0, F.array((cid / 3).cast("long"))).otherwise(F.array().cast("array<long>"))
-    return t.part.where("p_partkey > 0").select(cid.alias("cid"), F.when(ext > 0, ext).alias("ext"), impl.alias("impl"), F.concat(F.lit("c"), cid).alias("name"), F.lit(1).alias("access"), "p_size", "p_name")
+    return t.part.select(cid.alias("cid"), F.when(ext > 0, ext).alias("ext"), impl.alias("impl"), F.concat(F.lit("c"), cid).alias("name"), F.lit(1).alias("access"), "p_size", "p_name")
 
 
 @query(f"{_UP} SELECT cid, ancestor, depth FROM up")
@@ -297,7 +266,7 @@ def ancestor_chain(t):
     return resolve.superclasses(c, c)
 
 
-@query(f"{_UP}, m AS (SELECT p_partkey AS mid, p_partkey AS cid, p_name AS namedesc FROM part WHERE p_partkey > 0 AND p_partkey % 3 = 1), q AS (SELECT p_partkey AS cid, p_name AS namedesc FROM part WHERE p_partkey > 0) SELECT q.cid, q.namedesc, arg_min(m.mid, up.depth) AS mid FROM q JOIN up USING (cid) LEFT JOIN m ON m.cid = up.ancestor AND m.namedesc = q.namedesc GROUP BY 1, 2")
+@query(f"{_UP}, m AS (SELECT p_partkey AS mid, p_partkey AS cid, p_name AS namedesc FROM part WHERE p_partkey % 3 = 1), q AS (SELECT p_partkey AS cid, p_name AS namedesc FROM part) SELECT q.cid, q.namedesc, arg_min(m.mid, up.depth) AS mid FROM q JOIN up USING (cid) LEFT JOIN m ON m.cid = up.ancestor AND m.namedesc = q.namedesc GROUP BY 1, 2")
 def virtual_lookup(t):
     c = _classes(t).withColumn("impl", F.array().cast("array<long>"))
     methods = c.where("cid % 3 = 1").select(F.col("cid").alias("mid"), "cid", F.col("p_name").alias("namedesc"), F.lit(1).alias("access"))
@@ -305,7 +274,7 @@ def virtual_lookup(t):
     return resolve.lookup_methods(asked, c, methods).select("cid", "namedesc", F.col("mid").cast("long").alias("mid"))
 
 
-@query(f"{_UP}, f AS (SELECT p_partkey AS fid, p_partkey AS cid, 'f' || p_size % 7 AS name FROM part WHERE p_partkey > 0 AND p_partkey % 2 = 1), q AS (SELECT p_partkey AS cid, 'f' || p_partkey % 7 AS name FROM part WHERE p_partkey > 0), places AS (SELECT cid, depth, -1 AS pos, ancestor AS place FROM up UNION ALL SELECT cid, depth, 0, ancestor // 3 FROM up WHERE ancestor % 3 = 0), hit AS (SELECT q.cid, q.name, f.fid, depth, pos FROM q JOIN places USING (cid) JOIN f ON f.cid = place AND f.name = q.name) SELECT q.cid, q.name, (SELECT arg_min(fid, depth * 2 + pos) FROM hit WHERE hit.cid = q.cid AND hit.name = q.name) AS fid FROM q")
+@query(f"{_UP}, f AS (SELECT p_partkey AS fid, p_partkey AS cid, 'f' || p_size % 7 AS name FROM part WHERE p_partkey % 2 = 1), q AS (SELECT p_partkey AS cid, 'f' || p_partkey % 7 AS name FROM part), places AS (SELECT cid, depth, -1 AS pos, ancestor AS place FROM up UNION ALL SELECT cid, depth, 0, ancestor // 3 FROM up WHERE ancestor % 3 = 0), hit AS (SELECT q.cid, q.name, f.fid, depth, pos FROM q JOIN places USING (cid) JOIN f ON f.cid = place AND f.name = q.name) SELECT q.cid, q.name, (SELECT arg_min(fid, depth * 2 + pos) FROM hit WHERE hit.cid = q.cid AND hit.name = q.name) AS fid FROM q")
 def field_lookup(t):
     c = _classes(t)
     fields = c.where("cid % 2 = 1").select(F.col("cid").alias("fid"), "cid", F.concat(F.lit("f"), F.col("p_size") % 7).alias("name"))
@@ -327,7 +296,7 @@ def edges_from_to(t):
     return resolve.edges_from(e, 7).withColumn("side", F.lit("out")).union(resolve.edges_to(e, 3).withColumn("side", F.lit("in")))
 
 
-@query(f"{_UP}, m AS (SELECT p_partkey AS mid, p_partkey AS cid, 'm' || p_size % 5 AS namedesc FROM part WHERE p_partkey > 0) SELECT a.mid, arg_max(b.mid, depth) AS overridden FROM m a JOIN up ON up.cid = a.cid AND depth > 0 JOIN m b ON b.cid = up.ancestor AND b.namedesc = a.namedesc GROUP BY 1")
+@query(f"{_UP}, m AS (SELECT p_partkey AS mid, p_partkey AS cid, 'm' || p_size % 5 AS namedesc FROM part) SELECT a.mid, arg_max(b.mid, depth) AS overridden FROM m a JOIN up ON up.cid = a.cid AND depth > 0 JOIN m b ON b.cid = up.ancestor AND b.namedesc = a.namedesc GROUP BY 1")
 def override_edges(t):
     c = _classes(t).withColumn("impl", F.array().cast("array<long>"))
     methods = c.select(F.col("cid").alias("mid"), "cid", F.concat(F.lit("m"), F.col("p_size") % 5).alias("namedesc"), "access")
@@ -354,11 +323,11 @@ def focal_cascade(t):
 # windows
 
 
-@query("SELECT event_id, s.o_orderkey AS span FROM events e JOIN (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 86400000000 AS a, epoch_us(o_orderdate) // 86400000000 + 200 AS b FROM orders) s ON s.o_custkey = e.user_id AND epoch_us(e.ts) // 86400000000 BETWEEN a AND b")
+@query("SELECT event_id, s.o_orderkey AS span FROM events e JOIN (SELECT o_orderkey, o_orderkey % 500 AS a, o_orderkey % 500 + o_custkey % 7 AS b, o_orderkey % 100 AS g FROM orders) s ON s.g = e.user_id % 100 AND e.event_id % 500 BETWEEN a AND b")
 def line_interval_join(t):
-    day = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 86_400_000_000)
-    spans = t.orders.select(F.col("o_orderkey").alias("span"), F.col("o_custkey").alias("user_id"), day("o_orderdate").alias("a")).withColumn("b", F.col("a") + 200)
-    return windows.interval_join(t.events.select("event_id", "user_id", day("ts").alias("d")), spans, ["user_id"], "d", "a", "b", width=100).select("event_id", "span")
+    spans = t.orders.select(F.col("o_orderkey").alias("span"), (F.col("o_orderkey") % 100).alias("g"), (F.col("o_orderkey") % 500).alias("a"), (F.col("o_orderkey") % 500 + F.col("o_custkey") % 7).alias("b"))
+    points = t.events.select("event_id", (F.col("user_id") % 100).alias("g"), (F.col("event_id") % 500).alias("at"))
+    return windows.interval_join(points, spans, ["g"], "at", "a", "b", width=20).select("event_id", "span")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS known FROM events")
@@ -763,9 +732,9 @@ def runtime_log_lines(t):
     return t.events.select("event_id", T.log_line(line).alias("r")).select("event_id", "r.*")
 
 
-@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 100.0 * toxic WHEN toxic = 1 THEN round((0.25 * quality + 0.75 * 100) / 1.0, 9) ELSE 1.0 * quality END::DOUBLE AS score FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN quality END AS quality, toxic FROM labels WHERE doc_id % 5 > 0 OR toxic = 1)")
+@query("SELECT doc_id, CASE WHEN quality IS NULL AND toxic = 0 THEN 'NaN'::DOUBLE WHEN quality IS NULL THEN 100.0 * toxic WHEN toxic = 1 THEN round((0.25 * quality + 0.75 * 100) / 1.0, 9) ELSE 1.0 * quality END::DOUBLE AS score FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN quality END AS quality, toxic FROM labels)")
 def combined_score(t):
-    rows = t.labels.where("doc_id % 5 > 0 or toxic = 1")
+    rows = t.labels
     q = F.when(F.col("doc_id") % 5 > 0, F.col("quality").cast("double"))
     x = F.when(F.col("toxic") == 1, 100.0).otherwise(float("nan"))
     return rows.select("doc_id", F.round(M.code_bleu([q, x], (0.25, 0.75)), 9).alias("score"))
@@ -794,10 +763,13 @@ def _statements(t) -> DataFrame:
     return t.customer.select("c_custkey", g.alias("g"), F.when(F.col("c_custkey") % 3 == 0, F.lit("y = f(a); while (y) y = 0;")).otherwise(F.replace(g, F.lit("b"), F.lit("c"))).alias("p"))
 
 
-@query("SELECT c_custkey, 100.0::DOUBLE AS syntax, 100.0::DOUBLE AS flow FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 ELSE 0.0 END::DOUBLE AS syntax FROM customer")
 def code_match(t):
-    rows = _statements(t).withColumn("p", F.replace("g", F.lit("b"), F.lit("c")))
-    return rows.select("c_custkey", C.score(C.syntax_match("g", "p")).alias("syntax"), C.score(C.data_flow_match("g", "p")).alias("flow"))
+    g = F.format_string("int x%d = f(a);", F.col("c_custkey"))
+    # the same, the same with other names, and nothing in common
+    p = F.when(F.col("c_custkey") % 3 == 0, g).when(F.col("c_custkey") % 3 == 1, F.lit("int z = f(b);")).otherwise(F.lit(""))
+    rows = t.customer.select("c_custkey", g.alias("g"), p.alias("p"))
+    return rows.select("c_custkey", C.score(C.syntax_match("g", "p")).alias("syntax"))
 
 
 @query()
@@ -807,18 +779,22 @@ def code_match_corpus(t):
     return sums.select(F.round(M.code_bleu([F.col("b"), F.col("w"), C.score(F.col("s")), C.score(F.col("d"))]), 6).alias("code_bleu"))
 
 
-@query()
+@query("SELECT page_id, 'int a b;' || chr(10) || 's = \"// ' || url || ' /* */\";  ' AS code FROM pages")
 def comments_removed(t):
-    return t.pages.select("page_id", F.length(T.remove_comments(F.col("html"))).alias("n"))
+    code = F.concat(F.lit("int a/* "), F.replace("html", F.lit("*/"), F.lit("")), F.lit("*/b;\n \ns = \"// "), "url", F.lit(" /* */\"; // "), F.replace("html", F.lit("\n"), F.lit("")), F.lit("\n"))
+    return t.pages.select("page_id", T.remove_comments(code).alias("code"))
 
 
-@query()
+@query("SELECT c_custkey, 'POP (I[Lx/' || replace(c_mktsegment, ' ', '_') || ';)V' AS toks, 9::INT AS n FROM customer")
 def descriptors_recovered(t):
     tok = F.concat(F.lit("(I[Lx/"), F.translate("c_mktsegment", " ", "_"), F.lit(";)V"))
     broken = T.break_descriptors(F.array(F.lit("POP"), tok))
     return t.customer.select("c_custkey", T.joined(T.recover_descriptors(broken)).alias("toks"), F.size(broken).alias("n"))
 
 
+from millrace import inventory  # noqa: E402, F401 (registers its queries)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, extremes and best of each metric over ranked predictions of each benchmark item."""
     rows = _ranked(Tables(spark, sf_dir))

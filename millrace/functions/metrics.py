@@ -48,14 +48,15 @@ def occurrences(grams: Column) -> Column:
     return let(F.array_sort(grams), cut)
 
 
+def numbered(grams: Column) -> Column:
+    """Each gram with the number of its occurrence: equal elements of two arrays are common elements of multisets."""
+    return F.flatten(F.transform(occurrences(grams), lambda x: F.transform(positions(x["c"]), lambda k: F.concat_ws("\u0002", x["g"], k))))
+
+
 def clipped(reference: Column, hypothesis: Column) -> Column:
     """Size of the common part of two multisets of strings."""
 
-    def common(r, h):
-        counted = F.transform(F.array_intersect(h, r), lambda g: F.least(F.size(F.filter(h, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g))))
-        return total(counted, "int")
-
-    return let(reference, lambda r: let(hypothesis, lambda h: common(r, h)))
+    return F.size(F.array_intersect(numbered(reference), numbered(hypothesis)))
 
 
 def precision_parts(gold: Column, pred: Column, n: int) -> tuple[Column, Column]:
@@ -159,7 +160,7 @@ def recall_parts(gold: Column, pred: Column, n: int, keywords: list[str] | None
     if n > 1 or keywords is None:
         return clipped(a, b).cast("double"), F.greatest(F.size(gold) - (n - 1), F.lit(1)).cast("double")
     weight = lambda g: F.when(g.isin(*keywords), 1.0).otherwise(0.2)
-    common = F.transform(F.array_intersect(a, b), lambda g: weight(g) * F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
+    common = F.transform(F.array_intersect(numbered(a), numbered(b)), lambda x: weight(F.split_part(x, F.lit("\u0002"), F.lit(1))))
     all_ = total(F.transform(a, weight))
     return total(common), F.when(all_ > 0, all_).otherwise(1.0)
 
@@ -270,6 +271,49 @@ def top_k_accuracy(rank: Column, k: int) -> Column:
     return F.avg(F.when(rank.between(1, k), 1.0).otherwise(0.0))
 
 
+def corpus_recall_parts(gold: Column, pred: Column, keywords: list[str] | None = None, orders: int = 4) -> list[Column]:
+    """Aggregates over rows: weighted matches and totals of each order, lengths."""
+    words = JAVA_KEYWORDS if keywords is None else keywords
+    out = []
+    for n in range(1, orders + 1):
+        a, b = recall_parts(gold, pred, n, words)
+        out += [F.sum(a).alias(f"a{n}"), F.sum(b).alias(f"b{n}")]
+    return [*out, F.sum(F.size(gold)).alias("gold_length"), F.sum(F.size(pred)).alias("pred_length")]
+
+
+def corpus_weighted_ngram(orders: int = 4) -> Column:
+    """Weighted n-gram recall of a corpus, from the columns of corpus_recall_parts."""
+    return corpus_bleu(orders)
+
+
+def bleu_of_many(golds: Column, pred: Column, orders: int = 4) -> Column:
+    """Sentence BLEU of several references, smoothing method 2, reweighed: a gram counts as often as in the reference
+    that has it most often."""
+
+    def most(n: int) -> Column:
+        grams = F.transform(golds, lambda g: numbered(ngrams(g, n)))
+        return F.size(F.array_intersect(numbered(ngrams(pred, n)), F.array_distinct(F.flatten(grams))))
+
+    counted = F.struct(*(x.alias(k) for n in range(1, orders + 1) for k, x in ((f"a{n}", most(n)), (f"b{n}", F.greatest(F.size(pred) - (n - 1), F.lit(1))))))
+    length = closest_length(F.transform(golds, F.size), F.size(pred))
+    score = let(counted, lambda c: _bleu([(c[f"a{n}"], c[f"b{n}"]) for n in range(1, orders + 1)], length, F.size(pred), 2, [1 / orders] * orders, True))
+    return F.when((F.size(golds) == 0) | (F.size(pred) == 0), 0.0).otherwise(100 * score)
+
+
+def self_bleu(samples: Column) -> Column:
+    """Mean BLEU of each of some token arrays against the others; 100 if there are none."""
+    others = lambda i: F.concat(F.slice(samples, F.lit(1), i), F.slice(samples, i + 2, F.greatest(F.size(samples) - i - 1, F.lit(0))))
+    scores = F.transform(samples, lambda x, i: bleu_of_many(others(i), x))
+    return F.when(F.size(samples) == 0, 100.0).otherwise(total(scores) / F.size(samples))
+
+
+def _joined(metric):
+    """A metric of two texts, for two token arrays."""
+    return lambda gold, pred: metric(F.array_join(gold, " "), F.array_join(pred, " "))
+
+
+#: Metrics that run in Python: of one prediction a row, not inside of expressions over arrays.
+ROW_METRICS = {"edit-sim": _joined(edit_similarity), "rouge-f": _joined(lambda g, p: rouge_l(g, p)["f"]), "rouge-p": _joined(lambda g, p: rouge_l(g, p)["p"]), "rouge-r": _joined(lambda g, p: rouge_l(g, p)["r"])}
 QUALITY_METRICS = {"xmatch": exact_match, "tok-acc": token_accuracy, "bleu": bleu, "weighted-ngram": weighted_ngram, "levenshtein-sim": edit_distance_similarity}
 
 

@@ -17,6 +17,7 @@ FIELD_OPS = ("GETFIELD", "PUTFIELD", "GETSTATIC", "PUTSTATIC")
 JUMP_OPS = ("IFEQ", "IFNE", "IFLT", "IFGE", "IFGT", "IFLE", "IF_ICMPEQ", "IF_ICMPNE", "IF_ICMPLT", "IF_ICMPGE", "IF_ICMPGT", "IF_ICMPLE", "IF_ACMPEQ", "IF_ACMPNE", "GOTO", "JSR", "IFNULL", "IFNONNULL")
 
 TYPE = r"\[*(?:[BCDFIJSZV]|L[^;]*;)"
+# Packages and the last name behind them, as patterns.
 _PACKAGES = r"(?:[a-zA-Z_][a-zA-Z_0-9]*/)+"
 _LAST = r"([a-zA-Z_$][a-zA-Z_$0-9]*)"
 

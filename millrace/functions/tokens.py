@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from millrace.functions.base import let, positions, total
+from millrace.functions.names import FIELD_OPS, METHOD_OPS
 
-#: Places between the parts of an identifier.
+# Fixed value: places between the parts of an identifier.
 SUBTOKEN = r"(?<=[_$])(?!$)|(?<!^)(?=[_$])|(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9]|[A-Z][a-z0-9])|(?<=[0-9])(?=[a-zA-Z])|\b"
-INT = r"^[+-]?[0-9]+$"
-FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^[+-]?(?:NaN|Infinity)$"
+# Whole numbers and fractions as constants are written.
+INT = r"^-?[0-9]+$"
+FLOAT = r"^(?:-?[0-9]*\.?[0-9]+(?:E-?[0-9]+)?|NaN|-?Infinity)$"
 
 
 PRIMITIVE = frozenset("BCDFIJSZ")
@@ -91,10 +93,11 @@ def squeeze(text: Column) -> Column:
 
 
 def normalize_assertion(text: Column) -> Column:
-    """Without the framework's prefix; assertEquals of a truth value as assertTrue or assertFalse."""
+    """Without the framework's prefix; assertEquals of a truth value as assertTrue or assertFalse, up to the last closing
+    parenthesis."""
     plain = F.regexp_replace(text, r"^org \. junit \. Assert \. ", "")
-    true = F.regexp_replace(plain, r"^assertEquals \( true , (.*) \)$", "assertTrue ( $1 )")
-    return F.regexp_replace(true, r"^assertEquals \( false , (.*) \)$", "assertFalse ( $1 )")
+    true = F.regexp_replace(plain, r"(?s)^assertEquals \( true , ([^\n]*) \).*$", "assertTrue ( $1 )")
+    return F.regexp_replace(true, r"(?s)^assertEquals \( false , ([^\n]*) \).*$", "assertFalse ( $1 )")
 
 
 def shorten(value: Column, most: int = 100) -> Column:
@@ -165,13 +168,13 @@ def until(tokens: Column, ends: Column) -> Column:
 
 
 def group_by_ops(tokens: Column, ops: Column) -> Column:
-    """Tokens as instructions: each begins with an operation. The token after LDC and its type, and names in the
-    operand places of an instruction that needs them, aren't operations even if they are called like one."""
+    """Tokens as instructions: each begins with an operation. An unfinished constant (LDC up to LDC_END)
+    and the first two operands of an instruction on a method or field hold no operations, even if called like one."""
     start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"))
 
     def step(acc, t):
         now = acc["now"]
-        unfinished = (F.get(now, 0) == "LDC") & (F.size(now) < 3) | F.coalesce(F.get(now, 0).rlike("^(INVOKE(VIRTUAL|SPECIAL|STATIC|INTERFACE)|(GET|PUT)(FIELD|STATIC))$"), F.lit(False)) & (F.size(now) < 4)
+        unfinished = (F.get(now, 0) == "LDC") & (F.get(now, F.size(now) - 1) != "LDC_END") | F.get(now, 0).isin(*METHOD_OPS, *FIELD_OPS) & (F.size(now) < 3)
         opens = F.array_contains(ops, t) & ~F.coalesce(unfinished, F.lit(False))
         done = F.when(opens & (F.size(now) > 0), F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
         return F.struct(done.alias("done"), F.when(opens, F.array(t)).otherwise(F.concat(now, F.array(t))).alias("now"))
@@ -224,7 +227,8 @@ def with_inputs(named: list[tuple[str, Column]], separator: str | None = None, f
 def remove_comments(code: Column) -> Column:
     """Without // and /* */ comments (a space stands for each), string literals left alone, without blank lines."""
     literal = r"'(?:\\.|[^\\'])*'|\"(?:\\.|[^\\\"])*\""
-    plain = F.regexp_replace(code, rf"(?s)({literal})|/\*.*?\*/|//[^\n]*", "$1")
+    marked = F.regexp_replace(code, rf"(?s)({literal})|/\*.*?\*/|//[^\n]*", "\u0001$1\u0002")
+    plain = F.translate(F.replace(marked, F.lit("\u0001\u0002"), F.lit(" ")), "\u0001\u0002", "")
     return F.array_join(F.filter(F.split(plain, "\n"), lambda x: F.trim(x) != ""), "\n")
 
 
@@ -236,3 +240,53 @@ def carried_flags(tokens: Column, ops: Column, important: Column, high: float, l
         return F.struct(F.concat(acc["out"], F.array(scale)).alias("out"), scale.alias("now"))
 
     return F.aggregate(tokens, F.struct(F.array().cast("array<double>").alias("out"), F.lit(low).alias("now")), step, lambda a: a["out"])
+
+
+def is_special(token: Column, specials: list) -> Column:
+    """Whether a token (or an id) is one of a tokenizer's special ones; those that it lacks are None."""
+    return F.coalesce(token.isin(*(x for x in specials if x is not None)), F.lit(False))
+
+
+def of_elements(nested: Column, depth: int, body) -> Column:
+    """body of every element of arrays nested depth deep."""
+    return body(nested) if depth == 0 else F.transform(nested, lambda x: of_elements(x, depth - 1, body))
+
+
+def of_innermost(nested: Column, depth: int, body) -> Column:
+    """body of every innermost array of arrays nested depth deep."""
+    return of_elements(nested, depth - 1, body)
+
+
+def pad_nested(nested: Column, sizes: list[int], value: Column, kind: str = "string") -> Column:
+    """Arrays nested as deep as there are sizes, each cut or filled up to its size."""
+    if len(sizes) == 1:
+        return pad(nested, sizes[0], value)
+    blank = value
+    for n in reversed(sizes[1:]):
+        blank = F.array_repeat(blank, n)
+    return pad(F.transform(nested, lambda x: pad_nested(x, sizes[1:], value, kind)), sizes[0], blank)
+
+
+# Boxed types by the names that logs show.
+BOXED = {"java.lang.Boolean": "boolean", "java.lang.Byte": "byte", "java.lang.Character": "char", "java.lang.Double": "double", "java.lang.Float": "float", "java.lang.Integer": "int", "java.lang.Long": "long", "java.lang.Short": "short", "java.lang.String": "String"}
+
+
+def shown_type(class_name: Column) -> Column:
+    """A class as logs show it: boxed types by their plain names, others without package, null as `null`."""
+    out = F.element_at(F.split(class_name, r"[.$]"), -1)
+    for name, short in BOXED.items():
+        out = F.when(class_name == name, F.lit(short)).otherwise(out)
+    return F.when(class_name.isNull(), F.lit("null")).otherwise(out)
+
+
+def sorted_items(map_: Column) -> Column:
+    """(key, value) of a map in the order of keys."""
+    return F.array_sort(F.map_entries(map_))
+
+
+def span_text(code: Column, begin: Column, end: Column) -> Column:
+    """Text from (line, column) up to another, both from 0; begin and end are structs."""
+    lines = F.slice(F.split(code, "\n", -1), begin["line"] + 1, end["line"] - begin["line"] + 1)
+    n = F.size(lines)
+    cut = F.transform(lines, lambda x, i: F.substr(x, F.when(i == 0, begin["column"] + 1).otherwise(1), F.when(i == n - 1, end["column"] - F.when(i == 0, begin["column"]).otherwise(0)).otherwise(F.length(x))))
+    return F.array_join(cut, "\n")

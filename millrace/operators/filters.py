@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.metrics import occurrences
+from millrace.functions.names import has_flag
 
+# Fixed value: names that say nothing.
 BAD_NAME = r"^[tT][eE][sS][tT]_?\d*$"
 # Default limits of the cascade.
 LIMITS = {"min_stmts": 1, "max_stmts": 20, "min_focal": 1, "max_focal": 200, "max_all": 400, "max_stmt": 100, "max_rows": 10_000}
@@ -113,3 +115,35 @@ def selected_models(models: DataFrame, tags: Sequence[str], existing: DataFrame,
 
 def similar_enough(score: Column, least: float = 1.0) -> Column:
     return F.coalesce(score >= least, F.lit(False))
+
+
+def stars_enough(stars: Column, least: int = 0) -> Column:
+    """Unknown numbers of stars count as none."""
+    return F.coalesce(stars, F.lit(0)) >= least
+
+
+def short_enough(tokens: Column, most: int = 200) -> Column:
+    return F.size(tokens) <= most
+
+
+def visible(access: Column, scope: Column, class_name: Column) -> Column:
+    """What a scan keeps: all of a project's own members, none of a library's private ones, of the platform's only the
+    public and protected ones of its known packages."""
+    shown = ~has_flag(access, "private")
+    known = class_name.rlike(r"^(java|javax|org)\.")
+    return F.when(scope == "LIB", shown).when(scope == "JRE", known & (has_flag(access, "public") | has_flag(access, "protected"))).otherwise(F.lit(True))
+
+
+def is_code_module(packaging: Column, path: Column) -> Column:
+    """Modules below the root that are packaged as a jar."""
+    return (packaging == "jar") & (path != ".")
+
+
+def recent(epoch_seconds: Column, least: int = 1577836800) -> Column:
+    """At or after a moment (by default the begin of 2020); unknown ones aren't."""
+    return F.coalesce(epoch_seconds >= least, F.lit(False))
+
+
+def status_totals(df: DataFrame, status: str, name: str) -> DataFrame:
+    """(status, n, names): projects of each outcome, by name."""
+    return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(name)).alias("names"))

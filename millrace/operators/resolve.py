@@ -3,32 +3,33 @@
 classes: (cid, ext, impl array, name, access, scope); methods: (mid, cid, namedesc, access); fields: (fid, cid, name).
 Missing links are null (negative ids count as missing). Distinct keys are resolved once and joined back.
 
-Closures are bounded loops of joins whose rounds are written, so plans stay small whatever the depth. Superclasses are
+Closures are loops of joins whose rounds are written, so plans stay small whatever the depth. Superclasses are
 found by doubling: the 2^k-th superclass of each class is joined in round k. Superinterfaces are found level by level;
 pairs already found aren't followed again, which ends cycles too."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.names import has_flag
 from millrace.sources.scratch import saved
 
-MOST_LEVELS = 64
-
 
 def link(id: Column) -> Column:
     return F.when(id >= 0, id)
 
 
-def superclasses(classes: DataFrame, start: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+def superclasses(classes: DataFrame, start: DataFrame) -> DataFrame:
     """(cid, ancestor, depth): start's classes themselves (depth 0) and their superclasses, at their least depth."""
     jump = saved(classes.select("cid", link(F.col("ext")).alias("to")).where("to is not null"), "jump")
     up = start.select("cid").distinct().select("cid", F.col("cid").alias("ancestor"), F.lit(0).alias("depth"))
-    size = 1
-    while size < most and not jump.isEmpty():
-        up = saved(up, "up") if size > 1 else up
+    size, links = 1, jump.count()
+    # no chain is longer than there are links, so cycles end too
+    while size <= links and not jump.isEmpty():
+        up = saved(up.groupBy("cid", "ancestor").agg(F.min("depth").alias("depth")), "up") if size > 1 else up
         above = up.join(jump.withColumnRenamed("cid", "ancestor"), "ancestor").select("cid", F.col("to").alias("ancestor"), (F.col("depth") + size).alias("depth"))
         up = up.union(above)
         twice = jump.select("cid", F.col("to").alias("mid")).join(jump.select(F.col("cid").alias("mid"), "to"), "mid")
@@ -37,12 +38,12 @@ def superclasses(classes: DataFrame, start: DataFrame, most: int = MOST_LEVELS)
     return up.groupBy("cid", "ancestor").agg(F.min("depth").alias("depth"))
 
 
-def superinterfaces(classes: DataFrame, start: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+def superinterfaces(classes: DataFrame, start: DataFrame) -> DataFrame:
     """(cid, ancestor, rank): superinterfaces of start's classes in breadth-first order, each at its first place."""
     edges = classes.select(F.col("cid").alias("ancestor"), F.posexplode("impl").alias("pos", "to")).where("to >= 0")
     now = start.select("cid").distinct().select("cid", F.col("cid").alias("ancestor"), F.array().cast("array<int>").alias("place"))
     found = None
-    for depth in range(1, most + 1):
+    for depth in count(1):
         there = now.join(edges, "ancestor").where("to != cid").groupBy("cid", F.col("to").alias("ancestor")).agg(F.min(F.concat("place", F.array("pos"))).alias("place"))
         if found is not None:
             there = there.join(found, ["cid", "ancestor"], "left_anti")

@@ -68,7 +68,21 @@ def duplicate_weights(df: DataFrame, key: str, sequence: str) -> DataFrame:
     return df.groupBy(key, sequence).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def self_pairs(df: DataFrame, group: str, item: str, value: str, metric, most_per_group: int | None = None) -> DataFrame:
+def self_pairs(df: DataFrame, group: str, item: str, value: str, metric) -> DataFrame:
     """(group, mean): mean of metric over ordered pairs of different items within a group."""
     a, b = df.select(group, F.col(item).alias("i"), F.col(value).alias("x")), df.select(group, F.col(item).alias("j"), F.col(value).alias("y"))
     return a.join(b, group).where("i != j").groupBy(group).agg(F.avg(metric(F.col("x"), F.col("y"))).alias("mean"))
+
+
+def merged_metrics(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(metric, values) of two sets of collected metrics: lists of one metric are put end to end."""
+    both = first.select("metric", "values", F.lit(0).alias("k_")).unionByName(second.select("metric", "values", F.lit(1).alias("k_")))
+    return both.groupBy("metric").agg(F.flatten(F.array_sort(F.collect_list(F.struct("k_", "values")))["values"]).alias("values"))
+
+
+def nearest_texts(asked: DataFrame, known: DataFrame, by: list[str], text: str, k: int = 10) -> DataFrame:
+    """(asked's columns, found, distance, rank): the k texts of the same keys at the least edit distance."""
+    pairs = asked.join(known.select(*by, F.col(text).alias("found")).distinct(), by)
+    scored = pairs.withColumn("distance", F.levenshtein(text, "found"))
+    w = Window.partitionBy(*asked.columns).orderBy("distance", "found")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

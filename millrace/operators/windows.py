@@ -30,10 +30,14 @@ def changes(df: DataFrame, keys: Sequence[str], order: Order, value: str) -> Dat
 
 def full_state(df: DataFrame, group: str, step: str, name: str, value: str) -> DataFrame:
     """(group, step, name, value): at every step of a group, the last value of each name so far."""
-    steps = df.select(group, step).distinct()
+    # numbered without gaps, so that a span is as long as the steps that it shows at
+    steps = df.select(group, step).distinct().withColumn("at_", F.row_number().over(Window.partitionBy(group).orderBy(step)))
     latest = df.groupBy(group, step, name).agg(F.max_by(value, step).alias(value))
-    spans = latest.withColumnRenamed(step, "from_").select(group, name, value, "from_").withColumn("until_", F.lead("from_").over(Window.partitionBy(group, name).orderBy("from_")))
-    return steps.join(spans, group).where((F.col(step) >= F.col("from_")) & (F.col("until_").isNull() | (F.col(step) < F.col("until_")))).select(group, step, name, value)
+    last = steps.groupBy(group).agg(F.max("at_").alias("last_"))
+    spans = latest.join(steps, [group, step]).join(last, group).select(group, name, value, "last_", F.col("at_").alias("from_"))
+    until = F.coalesce(F.lead("from_").over(Window.partitionBy(group, name).orderBy("from_")) - 1, F.col("last_"))
+    shown = spans.withColumn("until_", until).select(group, name, value, F.explode(F.sequence("from_", "until_")).alias("at_"))
+    return shown.join(steps, [group, "at_"]).select(group, step, name, value)
 
 
 def previous_context(df: DataFrame, keys: Sequence[str], order: Order, tokens: str, size: int = 2, reset: Column | None = None, name: str = "context") -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 CLASS = "id int, access int, scope string, ext int, impl array<int>, name string, fields array<int>, methods array<int>"
 FIELD = "id int, access int, clz int, name string, type string"
@@ -100,7 +102,7 @@ def write_lines(df: DataFrame, path: str, column: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Every value quoted, quotes doubled."""
+    """Every value quoted, quotes doubled; a folder of part files, each with the header."""
     df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
@@ -121,3 +123,53 @@ def delta(df: DataFrame, base: int, key: str = "id") -> DataFrame:
 def keys_unique(df: DataFrame, key: str = "id") -> bool:
     r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("d")).head()
     return r["n"] == r["d"]
+
+
+def rows_at(df: DataFrame, places: Sequence[int], pos: str = "pos") -> DataFrame:
+    """The rows at some places, in the order asked for; readers skip row groups without them."""
+    asked = df.sparkSession.createDataFrame(list(enumerate(places)), f"at_ int, {pos} long")
+    return df.where(F.col(pos).isin(*set(places))).join(F.broadcast(asked), pos).orderBy("at_").drop("at_")
+
+
+def zipped(columns: dict[str, DataFrame], pos: str = "pos") -> DataFrame:
+    """Tables of (pos, value) as the columns of one; a place that one of them lacks is an error."""
+    out = None
+    for name, df in columns.items():
+        part = df.select(pos, F.struct(F.col("value").alias(name)).alias(f"{name}_"))
+        out = part if out is None else out.join(part, pos, "full")
+    missing = F.lit(False)
+    for name in columns:
+        missing = missing | F.col(f"{name}_").isNull()
+    checked = out.withColumn(pos, F.when(missing, F.raise_error(F.lit("columns differ in length"))).otherwise(F.col(pos)))
+    return checked.select(pos, *(F.col(f"{n}_")[n].alias(n) for n in columns))
+
+
+def listed(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Rows given one by one, with their places."""
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"pos long, {schema}")
+
+
+def used_projects(preds: DataFrame, data: DataFrame, data_id: str = "data_id", key: str = "id", project: str = "proj_name") -> DataFrame:
+    """The projects that predictions are about."""
+    return data.join(preds.select(F.col(data_id).alias(key)).distinct(), key, "left_semi").select(project).distinct()
+
+
+def classpath(parts: Sequence[DataFrame], name: str = "name") -> DataFrame:
+    """Classes of several places as one table: of one name, the first place's counts."""
+    out = None
+    for k, p in enumerate(parts):
+        p = p.withColumn("place_", F.lit(k))
+        out = p if out is None else out.unionByName(p)
+    w = Window.partitionBy(name).orderBy("place_")
+    return out.withColumn("rank_", F.row_number().over(w)).where("rank_ = 1").drop("rank_", "place_")
+
+
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, files: str = "*.parquet", per_batch: int = 1) -> DataFrame:
+    """A folder's files as a stream, so many a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", files).parquet(path)
+
+
+def progress(query: StreamingQuery) -> tuple[int, int]:
+    """(batches, rows) that a stream has read so far."""
+    batches = [p for p in query.recentProgress if p["numInputRows"] > 0]
+    return len(batches), sum(p["numInputRows"] for p in batches)
