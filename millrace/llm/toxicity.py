@@ -33,7 +33,7 @@ EXAMPLES = 2000
 LENGTHS = (4, 6, 8)
 NEIGHBOURS = 10
 #: Examples in a block of the index, and frequent terms by which examples are ordered.
-BLOCK = 32
+BLOCK = 64
 COMMON = 24
 SCAN = 1 << 16
 BETWEEN = re.compile(r"[\W_]+")
@@ -139,6 +139,7 @@ class Index:
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         weight = np.concatenate([np.empty(0), *(self.weigh(t, c) for t, c in vectors)])
         self.place = self._places(term, example, df)
+        self.number = np.argsort(self.place)
         at = self.place[example]
         order = np.lexsort((at, term))
         self.at, self.weight = at[order], weight[order]
@@ -147,7 +148,9 @@ class Index:
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (term_of[1:] != term_of[:-1])
         start = np.flatnonzero(new)
-        self.entry_block, self.entry_start, self.entry_end = block[start], start, np.append(start[1:], len(block))
+        self.entry_block = block[start]
+        # places of postings need 32 bits: the sample is bounded
+        self.entry_start, self.entry_end = start.astype(np.int32), np.append(start[1:], len(block)).astype(np.int32)
         self.entry_max = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
         self.entries = np.concatenate([NONE, [0], np.cumsum(np.bincount(term_of[start], minlength=n_terms))])
         self.n_blocks = -(-self.n // BLOCK)
@@ -181,31 +184,36 @@ class Index:
         """(numbers, cosines) of the k nearest examples of cosine above 0, nearest first."""
         if not len(terms) or not self.n:
             return NONE, np.empty(0)
-        s = self.scores(terms, self.weigh(terms, counts, others), k + (without >= 0))[0][self.place]
-        if without >= 0:
-            s[without] = 0
-        got = np.flatnonzero(s >= np.partition(s, self.n - k)[self.n - k]) if self.n > k else np.arange(self.n)
-        got = got[s[got] > 0]
-        got = got[np.lexsort((got, -s[got]))[:k]]
-        return got, s[got]
-
-    def scores(self, terms: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine by place, whether its block was scored). A block whose bound, the sum of its largest weights, is below
+        s, least = self.scores(terms, self.weigh(terms, counts, others), k + (without >= 0))[::2]
+        got = np.flatnonzero(s >= least)
+        got, s = self.number[got], s[got]
+        order = np.lexsort((got, -s))
+        order = order[(got[order] != without) & (s[order] > 0)][:k]
+        return got[order], s[order]
+
+    def scores(self, terms: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """(cosine by place, which blocks were scored, a cosine that the k nearest reach). A block whose bound, the sum of its largest weights, is below
         the k-th best cosine of the likeliest blocks holds none of the k nearest and isn't scored."""
         first, n = self.entries[terms], self.entries[terms + 1] - self.entries[terms]
         ends = np.cumsum(n)
         entry = np.arange(ends[-1]) + np.repeat(first - (ends - n), n)
-        weight, block = np.repeat(q, n), self.entry_block[entry]
-        bound = np.bincount(block, self.entry_max[entry] * weight, self.n_blocks)
+        asked, block = np.repeat(np.arange(len(terms)), n), self.entry_block[entry]
+        bound = np.bincount(block, self.entry_max[entry] * q[asked], self.n_blocks)
         s, scored = np.zeros(self.n), np.zeros(self.n_blocks, bool)
 
         def score(chosen: np.ndarray) -> None:
             e = np.flatnonzero(chosen[block])
-            start, n = self.entry_start[entry[e]], self.entry_end[entry[e]] - self.entry_start[entry[e]]
-            ends = np.cumsum(n)
             if len(e):
-                place = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
-                s[:] += np.bincount(self.at[place], self.weight[place] * np.repeat(weight[e], n), self.n)
+                # a term's entries in neighbouring blocks are one stretch of postings
+                new = np.ones(len(e) + 1, bool)
+                new[1:-1] = (np.diff(e) != 1) | (np.diff(asked[e]) != 0)
+                cut = np.flatnonzero(new)
+                start, n = self.entry_start[entry[e[cut[:-1]]]], self.entry_end[entry[e[cut[1:] - 1]]]
+                n = n - start
+                ends = np.cumsum(n, dtype=np.int32)
+                place = np.repeat(start - (ends - n), n)
+                place += np.arange(ends[-1], dtype=np.int32)
+                s[:] += np.bincount(self.at[place], self.weight[place] * np.repeat(q[asked[e[cut[:-1]]]], n), self.n)
             scored[chosen] = True
 
         likely = np.zeros(self.n_blocks, bool)
@@ -213,7 +221,7 @@ class Index:
         score(likely)
         least = np.partition(s, self.n - k)[self.n - k] if self.n > k else 0.0
         score(~scored & (bound > 0) & (bound * (1 + 1e-9) >= least))
-        return s, scored
+        return s, scored, float(least)
 
     def votes(self, got: np.ndarray, cos: np.ndarray) -> tuple[float, float]:
         """Share of the votes for toxic less a half, and whether there is a neighbour at all. A vote weighs as much as

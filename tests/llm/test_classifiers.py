@@ -167,7 +167,7 @@ def test_blocks_below_the_bound_are_not_scored():
         got, near = index.nearest(t, c)
         cos = dense @ dense[k]
         assert got[0] == k and np.allclose(near, np.sort(cos)[::-1][:10])
-        s, scored = index.scores(t, index.weigh(t, c), 10)
+        scored = index.scores(t, index.weigh(t, c), 10)[1]
         assert scored.sum() <= index.n_blocks / 2 + 1
         skipped = ~scored[index.place // toxicity.BLOCK]
         assert skipped.any() and cos[skipped].max(initial=0) <= near[-1] + 1e-9
