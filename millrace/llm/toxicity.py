@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over the words of a bounded sample of examples.
 
 Terms are all words of the lower-cased texts (runs of letters and digits; each character of a script without spaces is a
-word), none is left out. The inverted index keeps each word's postings in blocks of BLOCK examples with the block's
-largest weight. A text's largest weights bound its cosines with a block; blocks are scored from the largest bound on, and
-those whose bound is below the cosine of the last of the nearest NEIGHBOURS are skipped, so the neighbours are those of
+word), none is left out. The inverted index keeps frequent words' postings in blocks of BLOCK examples with the block's
+largest weight; those of other words are lists. A text's rare words are summed first; with the largest weights of its
+frequent ones they bound its cosines with a block. Blocks are scored from the largest bound on, and those whose bound is
+below the cosine of the last of the nearest NEIGHBOURS are skipped, so the neighbours are those of
 comparing all examples. Words that no example has count in a text's length. Votes are weighted by inverse distance; a
 logistic curve fitted on the examples themselves (each without itself) turns the share of votes and the log odds of
 all words into a score. The neighbours and their cosines are the evidence.
@@ -32,10 +33,15 @@ from millrace.llm.suffix_dedup import _pass, words_at
 EXAMPLES = 2000
 LENGTHS = (4, 6, 8)
 NEIGHBOURS = 10
-#: Examples in a block of the index, and frequent terms by which examples are ordered.
-BLOCK = 64
-COMMON = 24
+#: Examples in a block of the index; terms in one of SHARE examples or more are frequent; groups of like examples; texts
+#: looked up together. None of them changes a result.
+BLOCK = 32
+SHARE = 8
+GROUPS = 8
+AT_ONCE = 64
 SCAN = 1 << 16
+#: Bytes of texts that are scored together, so that a worker's memory doesn't grow with the batches it gets.
+SLICE = 1 << 20
 BETWEEN = re.compile(r"[\W_]+")
 #: Characters of scripts that are written without spaces.
 ALONE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
@@ -128,7 +134,8 @@ NONE = np.empty(0, np.int64)
 
 
 class Index:
-    """Unit TF-IDF vectors of examples as postings of terms."""
+    """Unit TF-IDF vectors of examples. Postings of frequent terms lie in dense blocks with each block's largest weight,
+    those of other terms in lists."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int, ids: np.ndarray | None = None):
         term = np.concatenate([NONE, *(t for t, _ in vectors)]).astype(np.int64)
@@ -138,37 +145,51 @@ class Index:
         self.labels, self.ids = np.asarray(labels, np.float64), np.arange(self.n) if ids is None else ids
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         weight = np.concatenate([np.empty(0), *(self.weigh(t, c) for t, c in vectors)])
-        self.place = self._places(term, example, df)
-        self.number = np.argsort(self.place)
+        frequent = np.flatnonzero((df * SHARE >= self.n) & (df > 0))
+        #: Row of a frequent term in the dense blocks, -1 for other terms.
+        self.row = np.full(n_terms, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        row = self.row[term]
+        common = row >= 0
+        self.n_blocks = -(-self.n // BLOCK)
+        self.place = self._places(row[common], example[common], weight[common], len(frequent))
+        self.number = np.full(self.n_blocks * BLOCK, -1)
+        self.number[self.place] = np.arange(self.n)
         at = self.place[example]
+        self.blocks = np.zeros((self.n_blocks, len(frequent), BLOCK))
+        self.blocks[at[common] // BLOCK, row[common], at[common] % BLOCK] = weight[common]
+        self.block_max = self.blocks.max(axis=2).T if self.n else np.zeros((len(frequent), 0))
+        term, at, weight = term[~common], at[~common], weight[~common]
         order = np.lexsort((at, term))
-        self.at, self.weight = at[order], weight[order]
-        # a block is BLOCK neighbouring places; an entry is one term's postings in one block
-        block, term_of = self.at // BLOCK, term[order]
-        new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | (term_of[1:] != term_of[:-1])
-        start = np.flatnonzero(new)
-        self.entry_block = block[start]
-        # places of postings need 32 bits: the sample is bounded
-        self.entry_start, self.entry_end = start.astype(np.int32), np.append(start[1:], len(block)).astype(np.int32)
-        self.entry_max = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        self.entries = np.concatenate([NONE, [0], np.cumsum(np.bincount(term_of[start], minlength=n_terms))])
-        self.n_blocks = -(-self.n // BLOCK)
+        self.at, self.weight = at[order].astype(np.int32), weight[order]
+        self.starts = np.concatenate([NONE, [0], np.cumsum(np.bincount(term, minlength=n_terms))])
         #: In how many toxic and how many other examples each term is.
-        self.toxic = np.bincount(term, self.labels[example], n_terms)
+        every = np.concatenate([NONE, *(t for t, _ in vectors)]).astype(np.int64)
+        self.toxic = np.bincount(every, self.labels[example], n_terms)
         self.clean = df - self.toxic
 
-    def _places(self, term: np.ndarray, example: np.ndarray, df: np.ndarray) -> np.ndarray:
-        """Places of the examples, so that those with the same frequent words (of one language) stand together: then
-        the blocks' bounds differ and most blocks are never scored."""
-        frequent = np.argsort(-df, kind="stable")[:COMMON]
-        has = np.zeros((self.n, len(frequent)), bool)
-        rank = np.full(self.n_terms, -1)
-        rank[frequent] = np.arange(len(frequent))
-        at = rank[term]
-        has[example[at >= 0], at[at >= 0]] = True
+    def _places(self, row: np.ndarray, example: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
+        """Places of the examples, so that those alike in their frequent words (of one language), and then of like
+        length, stand together: the blocks' bounds differ and are tight, and many blocks are never scored."""
+        x = np.zeros((self.n, n_rows))
+        x[example, row] = weight
+        group = np.zeros(self.n, np.int64)
+        if self.n and n_rows:
+            x /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None]
+            # the first centre is the mean, each further one the example farthest from all before
+            centres, near = [x.mean(axis=0)], np.full(self.n, -1.0)
+            for _ in range(GROUPS):
+                near = np.maximum(near, x @ centres[-1])
+                centres.append(x[near.argmin()])
+            for _ in range(8):
+                group = (x @ np.array(centres[1:]).T).argmax(axis=1)
+                for g in range(GROUPS):
+                    if (group == g).any():
+                        mean = x[group == g].mean(axis=0)
+                        centres[g + 1] = mean / max(1e-12, np.sqrt(mean @ mean))
+        length = np.bincount(example, weight, self.n)
         place = np.empty(self.n, np.int64)
-        place[np.lexsort((np.arange(self.n), *(~has).T[::-1]))] = np.arange(self.n)
+        place[np.lexsort((np.arange(self.n), length, group))] = np.arange(self.n)
         return place
 
     def raw(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray = NONE) -> tuple[np.ndarray, float]:
@@ -182,46 +203,64 @@ class Index:
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, without: int = -1, others: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, cosines) of the k nearest examples of cosine above 0, nearest first."""
-        if not len(terms) or not self.n:
-            return NONE, np.empty(0)
-        s, least = self.scores(terms, self.weigh(terms, counts, others), k + (without >= 0))[::2]
-        got = np.flatnonzero(s >= least)
-        got, s = self.number[got], s[got]
-        order = np.lexsort((got, -s))
-        order = order[(got[order] != without) & (s[order] > 0)][:k]
-        return got[order], s[order]
+        return self.nearest_of([(terms, counts, others)], k, [without])[0]
+
+    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without=None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each text of (terms, counts, others)."""
+        out = []
+        for a in range(0, len(texts), AT_ONCE):
+            some = texts[a : a + AT_ONCE]
+            s, _, least = self.scores_of([t for t, _, _ in some], [self.weigh(*x) for x in some], k + (without is not None))
+            for i in range(len(some)):
+                got = np.flatnonzero((s[i] >= least[i]) & (s[i] > 0))
+                number, cos = self.number[got], s[i, got]
+                order = np.lexsort((number, -cos))
+                if without is not None:
+                    order = order[number[order] != without[a + i]]
+                out.append((number[order[:k]], cos[order[:k]]))
+        return out
 
     def scores(self, terms: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-        """(cosine by place, which blocks were scored, a cosine that the k nearest reach). A block whose bound, the sum of its largest weights, is below
-        the k-th best cosine of the likeliest blocks holds none of the k nearest and isn't scored."""
-        first, n = self.entries[terms], self.entries[terms + 1] - self.entries[terms]
+        """scores_of() one text."""
+        s, scored, least = self.scores_of([terms], [q], k)
+        return s[0], scored[0], float(least[0])
+
+    def scores_of(self, terms: list[np.ndarray], weights: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cosine by place, which blocks were scored, a cosine that the k nearest reach), a row each text. Rare terms
+        are summed at once. With the largest weights of the frequent ones they bound the cosines of a block; one whose
+        bound is below the k-th best cosine found so far holds none of the k nearest and isn't scored."""
+        m, size = len(terms), self.n_blocks * BLOCK
+        if not size:
+            return np.zeros((m, 0)), np.zeros((m, 0), bool), np.zeros(m)
+        text = np.repeat(np.arange(m), [len(t) for t in terms])
+        term, q = np.concatenate([NONE, *terms]), np.concatenate([np.empty(0), *weights])
+        row = self.row[term]
+        common = row >= 0
+        asked = np.zeros((m, len(self.block_max)))
+        asked[text[common], row[common]] = q[common]
+        text, term, q = text[~common], term[~common], q[~common]
+        first, n = self.starts[term], self.starts[term + 1] - self.starts[term]
         ends = np.cumsum(n)
-        entry = np.arange(ends[-1]) + np.repeat(first - (ends - n), n)
-        asked, block = np.repeat(np.arange(len(terms)), n), self.entry_block[entry]
-        bound = np.bincount(block, self.entry_max[entry] * q[asked], self.n_blocks)
-        s, scored = np.zeros(self.n), np.zeros(self.n_blocks, bool)
+        posting = np.arange(n.sum()) + np.repeat(first - (ends - n), n)
+        s = np.bincount(np.repeat(text * size, n) + self.at[posting], np.repeat(q, n) * self.weight[posting], m * size).reshape(m, self.n_blocks, BLOCK)
+        bound = asked @ self.block_max + s.max(axis=2)
 
         def score(chosen: np.ndarray) -> None:
-            e = np.flatnonzero(chosen[block])
-            if len(e):
-                # a term's entries in neighbouring blocks are one stretch of postings
-                new = np.ones(len(e) + 1, bool)
-                new[1:-1] = (np.diff(e) != 1) | (np.diff(asked[e]) != 0)
-                cut = np.flatnonzero(new)
-                start, n = self.entry_start[entry[e[cut[:-1]]]], self.entry_end[entry[e[cut[1:] - 1]]]
-                n = n - start
-                ends = np.cumsum(n, dtype=np.int32)
-                place = np.repeat(start - (ends - n), n)
-                place += np.arange(ends[-1], dtype=np.int32)
-                s[:] += np.bincount(self.at[place], self.weight[place] * np.repeat(q[asked[e[cut[:-1]]]], n), self.n)
-            scored[chosen] = True
-
-        likely = np.zeros(self.n_blocks, bool)
-        likely[np.argsort(-bound, kind="stable")[: -(-k // BLOCK) + 1]] = True
+            for b in np.flatnonzero(chosen.any(axis=0)):
+                i = np.flatnonzero(chosen[:, b])
+                s[i, b] += asked[i] @ self.blocks[b]
+
+        def kth() -> np.ndarray:
+            return np.partition(s.reshape(m, -1), size - k, axis=1)[:, size - k] if size > k else np.zeros(m)
+
+        likely = np.zeros((m, self.n_blocks), bool)
+        np.put_along_axis(likely, np.argsort(-bound, axis=1, kind="stable")[:, : -(-k // BLOCK) + 1], True, axis=1)
         score(likely)
-        least = np.partition(s, self.n - k)[self.n - k] if self.n > k else 0.0
-        score(~scored & (bound > 0) & (bound * (1 + 1e-9) >= least))
-        return s, scored, float(least)
+        more = ~likely & (bound > 0) & (bound * (1 + 1e-9) + 1e-12 >= kth()[:, None])
+        score(more)
+        # sums in another order differ in the last bits: equal vectors must tie
+        np.round(s, 13, out=s)
+        return s.reshape(m, -1), likely | more, kth()
 
     def votes(self, got: np.ndarray, cos: np.ndarray) -> tuple[float, float]:
         """Share of the votes for toxic less a half, and whether there is a neighbour at all. A vote weighs as much as
@@ -273,7 +312,8 @@ class Model:
     def fit(self, vectors) -> Model:
         y = self.index.labels
         if len(y) and 0 < y.sum() < len(y):
-            x = np.array([self.index.votes(*self.index.nearest(t, c, without=k)) + self.index.odds(t, k) for k, (t, c) in enumerate(vectors)])
+            near = self.index.nearest_of([(t, c, NONE) for t, c in vectors], without=np.arange(len(y)))
+            x = np.array([self.index.votes(*n) + self.index.odds(t, k) for k, (n, (t, _)) in enumerate(zip(near, vectors, strict=True))])
             self.mean, self.width = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1)
             self.curve = logistic((x - self.mean) / self.width, y, self.weight)
         return self
@@ -317,12 +357,13 @@ def score(df: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     def run(batches):
         m = model.value
         for pdf in batches:
-            x, evidence = [], []
-            for t, c, others in m.vocabulary.split(pdf["t"].tolist()):
-                got, cos = m.index.nearest(t, c, others=others)
-                x.append(m.index.votes(got, cos) + m.index.odds(t))
-                evidence.append([{"doc_id": int(m.index.ids[k]), "cosine": float(v), "label": int(m.index.labels[k])} for k, v in zip(got, cos, strict=True)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": m.score(np.array(x).reshape(len(x), -1)), "evidence": evidence})
+            texts = pdf["t"].tolist()
+            for a, b in _pass([t.encode() for t in texts], SLICE):
+                found = m.vocabulary.split(texts[a:b])
+                near = m.index.nearest_of(found)
+                x = [m.index.votes(*n) + m.index.odds(t) for n, (t, _, _) in zip(near, found, strict=True)]
+                evidence = [[{"doc_id": i, "cosine": v, "label": y} for i, v, y in zip(m.index.ids[k].tolist(), cos.tolist(), m.index.labels[k].astype(int).tolist(), strict=True)] for k, cos in near]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"][a:b], "held_out": pdf["held_out"][a:b], "score": m.score(np.array(x).reshape(b - a, -1)), "evidence": evidence})
 
     scored = spread(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == held_out).mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, evidence array<struct<doc_id:long,cosine:double,label:int>>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
