@@ -4,10 +4,10 @@ Terms are all words of the lower-cased texts (runs of letters and digits; each c
 word), none is left out. The inverted index keeps frequent words' postings in blocks of BLOCK examples with the block's
 largest weight; those of other words are lists. A text's rare words are summed first; with the largest weights of its
 frequent ones they bound its cosines with a block. Blocks are scored from the largest bound on, and those whose bound is
-below the cosine of the last of the nearest NEIGHBOURS are skipped, so the neighbours are those of
-comparing all examples. Words that no example has count in a text's length. Votes are weighted by inverse distance; a
-logistic curve fitted on the examples themselves (each without itself) turns the share of votes and the log odds of
-all words into a score. The neighbours and their cosines are the evidence.
+below the cosine of the last of the nearest NEIGHBOURS are skipped, so the neighbours are those of comparing all
+examples. Words that no example has count in a text's length. Votes are weighted by inverse distance; a logistic curve
+fitted on the examples themselves (each without itself) turns the share of votes and the log odds of all words into a
+score. The neighbours and their cosines are the evidence.
 
 Labels are learnt from rows outside the held-out fold alone, at most EXAMPLES of each kind. Defined results: null and
 empty texts, and texts without a word of an example, have no neighbour and get the score of such examples; labels
@@ -242,7 +242,7 @@ class Index:
         first, n = self.starts[term], self.starts[term + 1] - self.starts[term]
         ends = np.cumsum(n)
         posting = np.arange(n.sum()) + np.repeat(first - (ends - n), n)
-        s = np.bincount(np.repeat(text * size, n) + self.at[posting], np.repeat(q, n) * self.weight[posting], m * size).reshape(m, self.n_blocks, BLOCK)
+        s = np.bincount(np.repeat(text * size, n) + self.at[posting], np.repeat(q, n) * self.weight[posting], m * size).astype(np.float64, copy=False).reshape(m, self.n_blocks, BLOCK)
         bound = asked @ self.block_max + s.max(axis=2)
 
         def score(chosen: np.ndarray) -> None:

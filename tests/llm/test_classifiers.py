@@ -180,3 +180,27 @@ def test_rows_of_a_repeated_id_are_one_example(spark, score, label):
     a = spark.createDataFrame(docs, "doc_id long, text string")
     got = score(a, spark.createDataFrame(labels, f"doc_id long, {label} int"), folds=50, held_out=49)
     assert got.count() == 360
+
+
+@pytest.mark.parametrize("n", [1, 31, 700])
+def test_index_of_frequent_and_rare_terms_equals_brute_force(n):
+    # terms 0-9 are in a third of the examples, the others in a few; every third example repeats one before
+    r = np.random.default_rng(n)
+    vectors = []
+    for k in range(n):
+        t = np.flatnonzero(np.concatenate([r.random(10) < 0.4, r.random(900) < 0.02]))
+        vectors.append(vectors[k // 2] if k % 3 == 2 else (t, r.integers(1, 5, len(t))))
+    index = toxicity.Index(vectors, r.integers(0, 2, n), 910)
+    dense = np.zeros((n, 910))
+    for k, (t, c) in enumerate(vectors):
+        dense[k, t] = index.weigh(t, c)
+    asked = [*vectors[:150], (np.array([0, 909]), np.array([1, 1])), (toxicity.NONE, toxicity.NONE)]
+    for without in (None, np.arange(len(asked))):
+        for k, (got, near) in enumerate(index.nearest_of([(*x, toxicity.NONE) for x in asked], without=without)):
+            q = np.zeros(910)
+            q[asked[k][0]] = index.weigh(*asked[k])
+            cos = np.round(dense @ q, 13)
+            if without is not None and k < n:
+                cos[k] = 0
+            want = [i for i in np.lexsort((np.arange(n), -cos)) if cos[i] > 0][:10]
+            assert np.allclose(near, cos[want]) and np.allclose(cos[got], near) and len(set(got)) == len(got)
