@@ -119,18 +119,25 @@ def class_names(t):
 
 
 def _members(t):
-    """Classes (2k extends nothing, 2k + 1 extends 2k; 4k + 3 implements interface 1000000 + k) and their methods."""
-    k = F.col("p_partkey")
-    ext = F.when(k % 2 == 1, k - 1)
-    impl = F.when(k % 4 == 3, F.array(F.lit(1_000_000) + F.floor(k / 4))).otherwise(F.array().cast("array<long>"))
-    own = t.part.select(k.alias("cid"), ext.alias("ext"), impl.alias("impl"), F.concat(F.lit("c"), k).alias("name"), F.lit(1).alias("access"))
-    faces = t.part.where("p_partkey % 4 = 3").select((F.lit(1_000_000) + F.floor(k / 4)).alias("cid"), F.lit(None).cast("long").alias("ext"), F.array().cast("array<long>").alias("impl"), F.concat(F.lit("i"), F.floor(k / 4)).alias("name"), F.lit(0x200).alias("access"))
+    """Classes (k; 2k extends nothing, 2k + 1 extends 2k; 4k + 3 implements interface k) and their methods. Ids of class k
+    and its method are 2k, those of interface k and its method 2k + 1, so no number of parts makes them meet."""
+    k, i = F.col("p_partkey"), F.floor(F.col("p_partkey") / 4)
+    ext = F.when(k % 2 == 1, 2 * (k - 1))
+    impl = F.when(k % 4 == 3, F.array(2 * i + 1)).otherwise(F.array().cast("array<long>"))
+    own = t.part.select((2 * k).alias("cid"), ext.alias("ext"), impl.alias("impl"), F.concat(F.lit("c"), k).alias("name"), F.lit(1).alias("access"))
+    faces = t.part.where("p_partkey % 4 = 3").select((2 * i + 1).alias("cid"), F.lit(None).cast("long").alias("ext"), F.array().cast("array<long>").alias("impl"), F.concat(F.lit("i"), i).alias("name"), F.lit(0x200).alias("access"))
     classes = own.union(faces)
-    methods = own.where("cid % 2 = 0").select(F.col("cid").alias("mid"), "cid", F.lit("up()V").alias("namedesc"), F.lit(1).alias("access"))
-    methods = methods.union(faces.select((F.col("cid") + 5_000_000).alias("mid"), "cid", F.lit("side()V").alias("namedesc"), F.lit(0x401).alias("access")))
+    methods = own.where("cid % 4 = 0").select(F.col("cid").alias("mid"), "cid", F.lit("up()V").alias("namedesc"), F.lit(1).alias("access"))
+    methods = methods.union(faces.select(F.col("cid").alias("mid"), "cid", F.lit("side()V").alias("namedesc"), F.lit(0x401).alias("access")))
     return classes, methods
 
 
+def _shown(id: str, interfaces: int):
+    """The number that a class or method of _members is shown by; those of interfaces are counted from `interfaces`."""
+    n = F.floor(F.col(id) / 2).cast("long")
+    return F.when(F.col(id) % 2 == 0, n).otherwise(n + interfaces)
+
+
 _OPS = ("INVOKEVIRTUAL", "INVOKEINTERFACE", "INVOKESPECIAL", "INVOKESTATIC")
 
 
@@ -141,7 +148,7 @@ UNION ALL SELECT cid, nd, op, CASE WHEN nd = 'side()V' AND op <> 'INVOKEVIRTUAL'
 def method_lookup_by_op(t):
     classes, methods = _members(t)
     asked = classes.select("cid", F.explode(F.array(*map(F.lit, _OPS))).alias("op")).select("cid", "op", F.explode(F.array(F.lit("up()V"), F.lit("side()V"))).alias("namedesc"))
-    return resolve.lookup_methods(asked, classes, methods).select("cid", "namedesc", "op", F.col("mid").cast("long").alias("mid"))
+    return resolve.lookup_methods(asked, classes, methods).select(_shown("cid", 1_000_000).alias("cid"), "namedesc", "op", _shown("mid", 6_000_000).alias("mid"))
 
 
 @query("SELECT p_partkey + 10 AS src, p_partkey - p_partkey % 2 AS dst FROM part")
@@ -149,7 +156,7 @@ def call_edges(t):
     classes, methods = _members(t)
     calls = t.part.select((F.col("p_partkey") + 10).alias("src"), F.concat(F.lit("c"), "p_partkey").alias("owner"), F.lit("up()V").alias("namedesc"), F.lit("INVOKEVIRTUAL").alias("op"))
     lost = calls.select("src", F.lit("nowhere").alias("owner"), "namedesc", "op")
-    return resolve.call_edges(calls.union(calls).union(lost), classes, methods).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    return resolve.call_edges(calls.union(calls).union(lost), classes, methods).select(F.col("src").cast("long").alias("src"), _shown("dst", 6_000_000).alias("dst"))
 
 
 @query("SELECT c_name, c_custkey, max(c_custkey) OVER (PARTITION BY c_mktsegment) AS cid FROM customer")
