@@ -753,7 +753,7 @@ def evaluation_set(t):
     per = t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
     tests = per.select("id", (F.col("id") % 2).alias("proj_name"), F.transform("x", lambda r: F.array(F.when(r["role"] == "assistant", F.lit("assertThat")).otherwise(r["role"]), r["text"])).alias("test_stmt_toks"))
     repos = t.rows([(0, "val")], "proj_name long, sources string")
-    got = stages.eval_setup(tests, repos, 1_000_000, first_assertion=True, min_stmt=1)
+    got = stages.eval_setup(tests, repos, None, first_assertion=True, min_stmt=1)
     return got.select("id", F.col("stmt_i").cast("long").alias("stmt_i"), F.get("gold_stmts", 1).alias("gold"), F.size("test_stmt_toks").cast("long").alias("n_before"))
 
 

@@ -294,7 +294,7 @@ def rows_in_order(t):
 def capped_evaluation(t):
     tests = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("proj_name"), F.array(F.array(F.lit("a"))).alias("test_stmt_toks"))
     repos = t.customer.select(F.col("c_custkey").alias("proj_name"), F.lit("val").alias("sources"))
-    per = stages.eval_setup(tests, repos, 1_000_000, per_project=2)
+    per = stages.eval_setup(tests, repos, None, per_project=2)
     return per.select(F.col("proj_name").alias("o_custkey"), F.col("id").alias("o_orderkey"))
 
 

@@ -45,13 +45,14 @@ def places(tests: DataFrame, key: str = "id", stmts: str = "test_stmt_toks", fir
     return rows.select(key, *carry, "stmt_i").where(F.col("stmt_i") >= min_stmt)
 
 
-def round_robin(rows: DataFrame, key: str, pick: Sequence[str | Column], place: Sequence[str | Column], most: int, group: str | None = None, per_group: int | None = None) -> DataFrame:
-    """One row of each key per round, in the order `pick` within a key and `place` among keys, until `most` rows;
-    at most per_group rows of a group."""
+def round_robin(rows: DataFrame, key: str, pick: Sequence[str | Column], place: Sequence[str | Column], most: int | None, group: str | None = None, per_group: int | None = None) -> DataFrame:
+    """One row of each key per round, in the order `pick` within a key and `place` among keys, until `most` rows (all
+    of them if it is None); at most per_group rows of a group."""
     out = rows.withColumn("round_", F.row_number().over(Window.partitionBy(key).orderBy(*pick)))
     if group is not None and per_group is not None:
         out = out.withColumn("in_group_", F.row_number().over(Window.partitionBy(group).orderBy("round_", *place))).where(F.col("in_group_") <= per_group).drop("in_group_")
-    return out.orderBy("round_", *place).limit(most).drop("round_")
+    out = out.orderBy("round_", *place)
+    return (out if most is None else out.limit(most)).drop("round_")
 
 
 def cut_off(tests: DataFrame, k: str | Column, per_stmt: Sequence[str], per_state: Sequence[str] = ()) -> DataFrame:

@@ -122,8 +122,9 @@ def process(tests: DataFrame, calls: DataFrame, classes: DataFrame, methods: Dat
     return filters.kept(rows, rules), filters.counters(rows, rules)
 
 
-def eval_setup(tests: DataFrame, repos: DataFrame, most: int, seed: int = 42, per_project: int | None = None, **options) -> DataFrame:
-    """An evaluation set: places of each project's tests, sampled round-robin, cut and with gold."""
+def eval_setup(tests: DataFrame, repos: DataFrame, most: int | None, seed: int = 42, per_project: int | None = None, **options) -> DataFrame:
+    """An evaluation set: places of each project's tests, sampled round-robin up to `most` of them (None: no limit), cut
+    and with gold."""
     split = sampling.splits(tests, repos)
     chosen = sampling.round_robin(sampling.places(split, carry=["proj_name"], **options), "id", [sampling.seeded(F.concat_ws(":", "id", "stmt_i"), seed)], ["id"], most, "proj_name", per_project)
     return sampling.evaluation_set(split, chosen)

@@ -90,3 +90,7 @@ def equals_sql_on(spark, folder, name, **made):
 @pytest.mark.parametrize("name", ["method_lookup_by_op", "call_edges"])
 def test_ids_of_many_parts_and_of_interfaces_differ(spark, tmp_path, name):
     assert equals_sql_on(spark, tmp_path, name, part="SELECT unnest(range(0, 16) || range(999992, 1000008) || range(4999996, 5000012) || range(6000000, 6000004)) AS p_partkey")
+
+
+def test_evaluation_set_of_over_a_million_rows_is_whole(spark, tmp_path):
+    assert equals_sql_on(spark, tmp_path, "capped_evaluation", orders="SELECT i AS o_orderkey, i // 3 AS o_custkey FROM range(1510000) t(i)", customer="SELECT i AS c_custkey FROM range(505000) t(i)")
