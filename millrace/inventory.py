@@ -464,6 +464,13 @@ def processed_rows(t):
 # streams
 
 
+def _stream(t, name: str) -> DataFrame:
+    """A table as a stream, whether it is a file or a folder of files. They come in one batch, since the order of a
+    key's rows doesn't follow that of files."""
+    # as a pattern, since a stream takes a plain path for a folder
+    return tables.read_stream(t._spark, f"{t._dir}/{name}.parque[t]", getattr(t, name).schema, "*", None)
+
+
 def _streamed(t, df, name: str) -> DataFrame:
     path = _path(t, name)
     query_ = changes.append_batches(df, path, _path(t, f"{name}-state")).trigger(availableNow=True).start()
@@ -473,16 +480,14 @@ def _streamed(t, df, name: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE r = 1 OR value <> before")
 def streamed_changes(t):
-    stream = tables.read_stream(t._spark, t._dir, t.events.schema, "events.parquet")
-    rows = stream.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    rows = _stream(t, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
     return _streamed(t, changes.changed_values(rows), "changes").select("user_id", "event_type", "event_id", "value")
 
 
 @query("SELECT conv_id::VARCHAR AS session, turn AS seq, string_agg(turn::VARCHAR, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS state FROM conversations WHERE turn > 0")
 def streamed_sessions(t):
-    stream = tables.read_stream(t._spark, t._dir, t.conversations.schema, "conversations.parquet")
     command = F.when(F.col("turn") == 0, "start").otherwise("submit")
-    rows = stream.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), command.alias("command"), F.col("turn").cast("string").alias("argument"))
+    rows = _stream(t, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), command.alias("command"), F.col("turn").cast("string").alias("argument"))
     return _streamed(t, changes.sessions(rows), "sessions").where("command = 'submit'").select("session", "seq", "state")
 
 

@@ -164,9 +164,10 @@ def classpath(parts: Sequence[DataFrame], name: str = "name") -> DataFrame:
     return out.withColumn("rank_", F.row_number().over(w)).where("rank_ = 1").drop("rank_", "place_")
 
 
-def read_stream(spark: SparkSession, path: str, schema: str | StructType, files: str = "*.parquet", per_batch: int = 1) -> DataFrame:
-    """A folder's files as a stream, so many a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", files).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, files: str = "*.parquet", per_batch: int | None = 1) -> DataFrame:
+    """A folder's files as a stream, so many a batch; None: all that are there."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    return (reader if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)).parquet(path)
 
 
 def progress(query: StreamingQuery) -> tuple[int, int]:

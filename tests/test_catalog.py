@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import catalog
 
@@ -94,3 +95,12 @@ def test_ids_of_many_parts_and_of_interfaces_differ(spark, tmp_path, name):
 
 def test_evaluation_set_of_over_a_million_rows_is_whole(spark, tmp_path):
     assert equals_sql_on(spark, tmp_path, "capped_evaluation", orders="SELECT i AS o_orderkey, i // 3 AS o_custkey FROM range(1510000) t(i)", customer="SELECT i AS c_custkey FROM range(505000) t(i)")
+
+
+@pytest.mark.parametrize("name, table, order", [("streamed_sessions", "conversations", "turn"), ("streamed_changes", "events", "ts")])
+def test_streams_of_tables_in_several_files(spark, sf, tmp_path, duck, name, table, order):
+    # the rows of one key lie in several files, the later ones in earlier files
+    spark.read.parquet(f"{sf}/{table}.parquet").coalesce(1).sortWithinPartitions(F.desc(order)).write.option("maxRecordsPerFile", 100).parquet(f"{tmp_path}/{table}.parquet")
+    want = duck.execute(catalog.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert plain(catalog.queries()[name](spark, str(tmp_path)).select(columns).collect()) == plain(want.fetchall())
