@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from millrace.functions.base import let, positions, total
+from millrace.functions.base import let, positions, sums
 from millrace.functions.names import FIELD_OPS, METHOD_OPS
 
 # Fixed value: places between the parts of an identifier.
@@ -128,12 +128,12 @@ def log_line(line: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int, separator: str = "\u0001") -> Column:
-    return F.transform(positions(F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), separator))
+    return let(tokens, lambda t: F.transform(positions(F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), separator)))
 
 
 def padded_ngrams(tokens: Column, n: int, left: str | None = None, right: str | None = None, separator: str = "\u0001") -> Column:
     parts = [F.array_repeat(F.lit(left), n - 1)] * (left is not None) + [tokens] + [F.array_repeat(F.lit(right), n - 1)] * (right is not None)
-    return let(F.concat(*parts), lambda t: ngrams(t, n, separator))
+    return ngrams(F.concat(*parts), n, separator)
 
 
 def pad(tokens: Column, n: int, value: Column, side: str = "right", cut: str = "right") -> Column:
@@ -189,8 +189,7 @@ def reverse_insns(insns: Column) -> Column:
 
 def offsets(parts: Column) -> Column:
     """(begin, end) of each token's subtokens, for an array of arrays."""
-    sizes = F.transform(parts, F.size)
-    return F.transform(positions(F.size(parts)), lambda i: F.struct(total(F.slice(sizes, 1, i - 1), "int").alias("beg"), total(F.slice(sizes, 1, i), "int").alias("end")))
+    return let(sums(F.transform(parts, F.size)), lambda at: F.transform(positions(F.size(at) - 1), lambda i: F.struct(F.get(at, i - 1).alias("beg"), F.get(at, i).alias("end"))))
 
 
 def token_of_subtoken(parts: Column) -> Column:
@@ -200,8 +199,11 @@ def token_of_subtoken(parts: Column) -> Column:
 
 def shifted(offset_lists: Column) -> Column:
     """Offsets of several subtokenizations put end to end."""
-    last = F.transform(offset_lists, lambda x: F.coalesce(F.get(x, F.size(x) - 1)["end"], F.lit(0)))
-    return F.flatten(F.transform(offset_lists, lambda x, i: let(total(F.slice(last, F.lit(1), i), "int"), lambda s: F.transform(x, lambda o: F.struct((o["beg"] + s).alias("beg"), (o["end"] + s).alias("end"))))))
+    def of(lists: Column) -> Column:
+        last = F.transform(lists, lambda x: F.coalesce(F.get(x, F.size(x) - 1)["end"], F.lit(0)))
+        return let(sums(last), lambda at: F.flatten(F.transform(lists, lambda x, i: let(F.get(at, i), lambda s: F.transform(x, lambda o: F.struct((o["beg"] + s).alias("beg"), (o["end"] + s).alias("end")))))))
+
+    return let(offset_lists, of)
 
 
 def with_inputs(named: list[tuple[str, Column]], separator: str | None = None, first: bool = False, names: bool = False) -> Column:

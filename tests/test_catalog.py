@@ -3,6 +3,7 @@
 import glob
 import os
 import re
+import threading
 
 import duckdb
 import pytest
@@ -104,3 +105,12 @@ def test_streams_of_tables_in_several_files(spark, sf, tmp_path, duck, name, tab
     want = duck.execute(catalog.oracle_sql()[name])
     columns = [d[0] for d in want.description]
     assert plain(catalog.queries()[name](spark, str(tmp_path)).select(columns).collect()) == plain(want.fetchall())
+
+
+def test_offsets_of_a_long_text_end_in_time(spark, tmp_path):
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert equals_sql_on(spark, tmp_path, "padded_grams_and_shifts", conversations="SELECT 1 AS conv_id, i AS turn, repeat('ab cd ', [0, 1, 64, 10000][i + 1]) AS text FROM range(4) t(i)")
+    finally:
+        late.cancel()

@@ -71,6 +71,11 @@ def test_sequences(value):
     parts = F.array(arr("f oo"), arr("bar"))
     assert [tuple(x) for x in value(T.offsets(parts))] == [(0, 2), (2, 3)] and value(T.token_of_subtoken(parts)) == [0, 0, 1]
     assert [tuple(x) for x in value(T.shifted(F.array(T.offsets(parts), T.offsets(F.array(arr("x"))))))] == [(0, 2), (2, 3), (3, 4)]
+    for n in (0, 1, 127, 128, 129, 257, 5000):
+        sizes = [k * 7 % 5 for k in range(n)]
+        ends = [sum(sizes[: k + 1]) for k in range(n)]
+        many = F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda k: F.array_repeat(F.lit("x"), k))
+        assert [tuple(x) for x in value(T.offsets(many))] == [(e - k, e) for k, e in zip(sizes, ends, strict=True)]
     assert value(T.from_subtokens(arr("a b"))) == ["ab"]
     assert value(T.remove_comments(F.lit('a; // x\n\n/* b\n */ s = "//";\n'))).split("\n") == ["a;  ", '  s = "//";']
     assert value(T.normalize_assertion(F.lit("org . junit . Assert . assertEquals ( true , x )"))) == "assertTrue ( x )"
