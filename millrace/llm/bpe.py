@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import spread
+from millrace.llm.common import release, spread
 from millrace.llm.pretokens import PieceEncoder, load_ranks
 
 #: The class of white space for the pattern; Python's \s has U+001C to U+001F besides.
@@ -162,30 +162,36 @@ def load(path: str, pattern: str) -> Bpe:
     return Bpe(load_ranks(path), pattern)
 
 
+def each_batch(path: str, pattern: str, body, batches):
+    """body of every batch; then what the batches took is given back, since the worker lives on in other stages."""
+    bpe = load(path, pattern)
+    for pdf in batches:
+        yield body(bpe, pdf)
+    pdf = None
+    bpe.pieces.clear()
+    release()
+
+
 def encoded(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """(doc_id, ids as binary little-endian unsigned 32-bit integers, n_tokens)."""
 
-    def run(batches):
-        bpe = load(path, pattern)
-        for pdf in batches:
-            ids = list(bpe.pieces.each(pdf["t"].tolist()))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.astype("<u4").tobytes() for x in ids], "n_tokens": [len(x) for x in ids]})
-        bpe.pieces.clear()  # the worker lives on in other stages
+    def ids_of(bpe, pdf):
+        ids = list(bpe.pieces.each(pdf["t"].tolist()))
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.astype("<u4").tobytes() for x in ids], "n_tokens": [len(x) for x in ids]})
 
+    run = partial(each_batch, path, pattern, ids_of)
     return spread(df.select("doc_id", text)).select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, _schema(df, "ids binary, n_tokens long"))
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, then decodes the ids."""
 
-    def run(batches):
-        bpe = load(path, pattern)
+    def digests_of(bpe, pdf):
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for pdf in batches:
-            out = [(len(x), sha(x.astype("<u4").tobytes()), sha(bpe.decode(x))) for x in bpe.pieces.each(pdf["t"].tolist())]
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=pdf["doc_id"].to_numpy())
-        bpe.pieces.clear()  # the worker lives on in other stages
+        out = [(len(x), sha(x.astype("<u4").tobytes()), sha(bpe.decode(x))) for x in bpe.pieces.each(pdf["t"].tolist())]
+        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=pdf["doc_id"].to_numpy())
 
+    run = partial(each_batch, path, pattern, digests_of)
     return spread(df.select("doc_id", text)).select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, _schema(df, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 

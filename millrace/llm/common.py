@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,13 @@ def drop_table(df: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def release() -> None:
+    """Returns what a Python worker has freed to the system: the worker stays while other stages need memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out over all cores if its files are read by fewer tasks: work on texts takes longer than moving them.
     Of no effect on inputs of more splits than cores."""

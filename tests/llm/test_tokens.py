@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -139,3 +141,28 @@ def test_rows_that_share_an_id_are_dealt_over_files(spark, tmp_path):
 def test_token_files_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.token_report(df, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
+
+
+def test_a_worker_gives_memory_back_after_encoding():
+    code = """
+import numpy as np, pandas as pd, public_tokenizers as P
+from millrace.llm import bpe
+
+def rss():
+    return int(open("/proc/self/statm").read().split()[1]) * 4 / 1024
+
+def batches():
+    r = np.random.default_rng(1)
+    for _ in range(2):
+        words = r.integers(97, 123, (400, 1000, 6), np.uint8)
+        yield pd.DataFrame({"doc_id": range(400), "t": [" ".join(bytes(w).decode() for w in ws) for ws in words]})
+
+path = P.path("byte_bpe_50k.tiktoken")
+bpe.load(path, P.PATTERN)
+body = lambda b, pdf: len(list(b.pieces.each(pdf["t"].tolist())))
+before = rss()
+assert list(bpe.each_batch(path, P.PATTERN, body, batches())) == [400, 400]
+print(rss() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(got.stdout) < 60
